@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from siftwell.llm.chat import OP6_SQL, op6_chat_formatting
+from siftwell.llm.pii import op7_pii
 from siftwell.llm.quality import op5_quality
+from siftwell.llm.secret_scan import op4_secret_scan
 from siftwell.llm.sharding import op10_sharding
+from siftwell.llm.topk import OP3_SQL, op3_topk_search
+from siftwell.llm.url_filter import OP2_SQL, op2_url_filter
 
-QUERIES = {f.__name__: f for f in (op5_quality, op10_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op2_url_filter, op3_topk_search, op4_secret_scan, op5_quality, op6_chat_formatting, op7_pii, op10_sharding)}
+ORACLE_SQL = {"op2_url_filter": OP2_SQL, "op3_topk_search": OP3_SQL, "op6_chat_formatting": OP6_SQL}
