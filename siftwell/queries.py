@@ -94,8 +94,8 @@ _hits("q01_term", t("the"), "SELECT doc_id, round(s, 6) AS score FROM sc WHERE t
 _hits("q02_term_in_set", TermInSet("body", ("the", "und", "the", "stupid")), _docs("term IN ('the', 'und', 'stupid')"))
 _hits("q03_prefix", Prefix("body", "sh"), _docs("starts_with(term, 'sh')"))
 _hits("q04_wildcard", Wildcard("body", "t?e*ing"), _docs("regexp_full_match(term, '(?s)t.e.*ing')"))
-_hits("q05_fuzzy_transpositions", Fuzzy("body", "teh", 1, 1), "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM p WHERE term IN (SELECT term FROM df WHERE damerau_levenshtein(regexp_replace(term, '[^\x00-\x7F]', '~', 'g'), 'teh') <= 1 AND starts_with(term, 't') ORDER BY term LIMIT 50)")
-_hits("q05_fuzzy_edits", Fuzzy("body", "worthles", 2, transpositions=False), "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM p WHERE term IN (SELECT term FROM df WHERE levenshtein(regexp_replace(term, '[^\x00-\x7F]', '~', 'g'), 'worthles') <= 2 ORDER BY term LIMIT 50)")
+_hits("q05_fuzzy_transpositions", Fuzzy("body", "teh", 1, 1), "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM p WHERE term IN (SELECT term FROM df WHERE damerau_levenshtein(regexp_replace(term, '[^ -~]', '~', 'g'), 'teh') <= 1 AND starts_with(term, 't') ORDER BY term LIMIT 50)")
+_hits("q05_fuzzy_edits", Fuzzy("body", "worthles", 2, transpositions=False), "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM p WHERE term IN (SELECT term FROM df WHERE levenshtein(regexp_replace(term, '[^ -~]', '~', 'g'), 'worthles') <= 2 ORDER BY term LIMIT 50)")
 _hits("q06_regexp", Regexp("body", "(an|the)+[a-f]{1,3}"), _docs("regexp_full_match(term, '(?:an|the)+[a-f]{1,3}')"))
 PHRASE = "x AS (SELECT a.doc_id, a.idf + b.idf AS idf, len(list_filter(a.ps, lambda q: list_contains(b.ps, q + 1))) AS f, a.dl, a.mean FROM sc AS a JOIN sc AS b USING (doc_id) WHERE a.term = 'of' AND b.term = 'the')"
 _hits("q07_phrase", Phrase("body", ("of", "the")), f", {PHRASE} SELECT doc_id, round(idf * f / (f + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS score FROM x WHERE f > 0")
