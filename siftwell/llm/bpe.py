@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,7 +176,7 @@ class Codec:
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         length = self.byte_length[flat]
         raw = self.all_bytes[_pieces.spans_index(self.byte_start[flat], length)]
-        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(pa.compute.fill_null(pa.compute.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)]
+        ends = np.concatenate([[0], np.cumsum(length)])[np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)]
         return pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
 
 

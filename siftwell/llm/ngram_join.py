@@ -20,6 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -122,7 +123,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the different shingles of each text, text by text in order, and how many each has."""
-    texts = pa.compute.fill_null(texts.cast(pa.large_string()), "")
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     n = len(texts)
@@ -207,7 +208,7 @@ def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
 
 def _parts(b: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of some MB of text."""
-    length = pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
+    length = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
     edge = np.flatnonzero(np.diff(np.cumsum(length) // most)) + 1
     for a, z in zip([0, *edge], [*edge, b.num_rows], strict=True):
         if z > a:
