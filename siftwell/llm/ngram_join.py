@@ -329,8 +329,8 @@ OP8_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
-p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS both, any_value(a.n) AS na, any_value(b.n) AS nb FROM e AS a JOIN e AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT u, v FROM p WHERE 100 * both >= 90 * (na + nb - both)),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb FROM e AS a JOIN e AS b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p WHERE 100 * common >= 90 * (na + nb - common)),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.v AS doc_id, r.c FROM r JOIN l ON l.u = r.doc_id)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.c AS component_id FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) AS m USING (doc_id)
 """

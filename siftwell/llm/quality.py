@@ -104,3 +104,24 @@ def keep_good(docs: DataFrame) -> DataFrame:
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality of all documents."""
     return judge(table(spark, sf_dir, "documents")).drop("failed")
+
+
+OP5_SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+g AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) ELSE [] END AS g FROM w),
+u AS (SELECT doc_id, unnest(g) AS gram, generate_subscripts(g, 1) AS i FROM g),
+r AS (SELECT doc_id, i FROM u QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+c AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY doc_id),
+m AS (SELECT w.doc_id, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  (length(t) - length(translate(t, '{SYMBOLS}', '')))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
+f AS (SELECT *, base_failed OR n_symbols > {MOST_SYMBOLS} * n_words OR n_dup_lines > {MOST_DUP_LINES} * n_words OR word_chars < {LEAST_LETTERS} * n_words OR word_chars > {MOST_LETTERS} * n_words AS failed FROM b),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (failed) AS nf FROM f GROUP BY source),
+p AS (SELECT sum(nf) / sum(n) AS mean, var_pop(nf / n) - avg((nf / n) * (1 - nf / n) / n) AS spread FROM h),
+q AS (SELECT mean, CASE WHEN spread > 1e-12 THEN least({MOST_PRIOR}, greatest(1.0, mean * (1 - mean) / spread - 1)) ELSE {MOST_PRIOR} END AS weight FROM p),
+v AS (SELECT source, (nf + mean * weight) / (n + weight) > {MOST_FAILED} AS rejected FROM h CROSS JOIN q)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rejected AND failed) AS kept
+FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+"""
