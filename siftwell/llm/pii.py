@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siftwell.llm._common import table
 
 ROUNDS = 8
-_EMAIL = r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]{0,62}[A-Za-z0-9_%+-])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
+_EMAIL = r"[\p{L}\p{N}](?:[\p{L}\p{N}._%+-]{0,62}[\p{L}\p{N}_%+-])?@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}"
 _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
 _ISO = r"(?<![\d-])\d{4}-\d\d-\d\d(?![\d-])"
 _DOTTED = r"(?<![\d.])\d\d\.\d\d\.\d{4}(?![\d]|\.\d)"
