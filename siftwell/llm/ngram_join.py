@@ -8,20 +8,22 @@ one below. How many segments allow 0 and how many 1 is chosen for each band by c
 collisions to be verified, which grow with the number of documents.
 
 Equal sets are one class; classes meet, not copies. In a signature's bucket each class is first verified against one
-leader. Links make components; then every pair of a bucket that the components still separate is verified, so no link
-that could join two components is missed, and none within one need be looked for. Verification counts whole sets.
+leader. Links make components; then every pair of a bucket that the components still separate is looked at, so no link
+that could join two components is missed, and none within one need be looked for. Such a pair is a row only if sizes and
+parity sketches allow a link: a shingle flips one of 512 bits, so two sets differ in at least as many shingles as their
+sketches in bits. Verification counts whole sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm._common import fresh, materialize, small, table
@@ -228,17 +230,31 @@ def index(docs: DataFrame, join: Join) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, sigs array<long>")
 
 
+SKETCH = 8
+
+
+def sketches(s: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+    """The parity sketch of each set as SKETCH 64-bit columns."""
+    n, bits = len(size), 64 * SKETCH
+    owner = np.repeat(np.arange(n), size)
+    bit = (_mix(s ^ _U(0x2545F4914F6CDD1D)) >> _U(64 - bits.bit_length() + 1)).astype(np.int64)
+    odd = (np.bincount(owner * bits + bit, minlength=n * bits) & 1).astype(np.uint8)
+    packed = np.packbits(odd.reshape(n, bits), axis=1).view(np.int64).reshape(n, SKETCH)
+    return [np.ascontiguousarray(packed[:, k]) for k in range(SKETCH)]
+
+
 def sets(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, a, b and the set itself for every row."""
+    """doc_id, a, b, the set itself and its sketch (s0 ..) for every row."""
+    marks = [f"s{k}" for k in range(SKETCH)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for x in _parts(whole):
                 s, size = shingle_sets(x.column(1), join.words)
                 a, b = set_hashes(s, size)
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(s, size)], names=["doc_id", "a", "b", "shingles"])
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(s, size), *map(pa.array, sketches(s, size))], names=["doc_id", "a", "b", "shingles", *marks])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long, shingles array<long>" + "".join(f", {m} long" for m in marks))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -281,7 +297,8 @@ def join_components(docs: DataFrame, join: Join) -> DataFrame:
     wanted = classes.join(found, "a", "left_semi").filter("id IS NOT NULL")
     few = small(found, 1_000_000)
     chosen = sets(docs, join).join(F.broadcast(wanted) if few else wanted, ["a", "b"]).filter("doc_id = id")  # 32 bytes a row, a million at most
-    nodes = materialize(chosen.select("a", "b", "id", "n", "shingles").dropDuplicates(["a", "b", "id"]), "sets")
+    marks = [f"s{k}" for k in range(SKETCH)]
+    nodes = materialize(chosen.select("a", "b", "id", "n", "shingles", *marks).dropDuplicates(["a", "b", "id"]), "sets")
     # one leader for each class first: the one that it shares most signatures with
     first = members.filter("a <> lead").groupBy("a", "lead").count().groupBy("a").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
     first = materialize(first.select(F.col("lead").alias("x"), F.col("a").alias("y")), "first")
@@ -290,8 +307,15 @@ def join_components(docs: DataFrame, join: Join) -> DataFrame:
     known = nodes.select("a", "id").join(label, "id", "left").select("a", F.coalesce("component", "id").alias("component"))
     placed = materialize(members.select("key", "a").join(known, "a"), "placed")
     apart = placed.groupBy("key").agg(F.min("component").alias("s"), F.max("component").alias("t")).filter("s < t").select("key")
-    left = placed.join(apart, "key", "left_semi")
-    pairs = left.select("key", F.col("a").alias("x"), F.col("component").alias("cx")).join(left.select("key", F.col("a").alias("y"), F.col("component").alias("cy")), "key").filter("cx < cy").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    left = placed.join(apart, "key", "left_semi").join(nodes.select("a", "n", *marks), "a")
+    x, y = (left.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "component", "n", *marks)]) for side in "xy")
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{m}_x").bitwiseXOR(F.col(f"{m}_y"))) for m in marks])
+    both = F.col("n_x") + F.col("n_y")
+    # least overlap of a link: percent / (percent + percent_of) of both sizes, rounded up
+    allowed = both - 2 * F.ceil(F.lit(join.percent) * both / F.lit(join.percent + join.percent_of))
+    near = (F.lit(join.percent_of) * F.least("n_x", "n_y") >= F.lit(join.percent) * F.greatest("n_x", "n_y")) & (differ <= allowed)
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("component_x") < F.col("component_y")) & near)
+    pairs = pairs.select(F.least("a_x", "a_y").alias("x"), F.greatest("a_x", "a_y").alias("y")).distinct()
     pairs = pairs.join(first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     more = materialize(_verified(materialize(pairs, "pairs"), nodes, join), "links")
     if more.limit(1).count():
