@@ -81,7 +81,7 @@ class Vocabulary:
     def fits(self, a: int, b: int) -> bool:
         got = self._fits.get((a, b))
         if got is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) > 250_000:
                 self._fits.clear()
             got = self._fits[a, b] = not self._crossed(a, b, False)
         return got
@@ -136,8 +136,8 @@ class Vocabulary:
         return out
 
 
-class Codec:
-    """What a Python worker keeps of one tokenizer file."""
+class Encoder:
+    """What a Python worker that encodes keeps of one tokenizer file."""
 
     def __init__(self, spec: dict, classes: bytes) -> None:
         self.vocabulary = v = Vocabulary(spec)
@@ -149,12 +149,7 @@ class Codec:
             ids = v.encode_words([b"" if p in ids_of_mark else p.encode() for p in pieces])
             return [ids_of_mark.get(p, i) for p, i in zip(pieces, ids, strict=True)]
 
-        self.pieces = _pieces.PieceTable(encode)
-        whole = v.bytes | {i: c.encode() for c, i in v.special.items()}
-        size = max(whole) + 1
-        self.byte_length = np.array([len(whole.get(i, b"")) for i in range(size)])
-        self.byte_start = np.cumsum(self.byte_length) - self.byte_length
-        self.all_bytes = np.frombuffer(b"".join(whole.get(i, b"") for i in range(size)), np.uint8)
+        self.pieces = _pieces.PieceTable(encode, most=400_000)
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         texts = [t or "" for t in texts]
@@ -172,6 +167,20 @@ class Codec:
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
 
+
+class Decoder:
+    """The bytes of every token, one after the other: all that a worker that decodes keeps."""
+
+    def __init__(self, spec: dict) -> None:
+        to_byte = {c: b for b, c in enumerate(byte_letters())}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        whole = {i: bytes(to_byte[c] for c in t) for t, i in spec["model"]["vocab"].items() if t not in special}
+        whole |= {i: c.encode() for c, i in special.items()}
+        size = max(whole) + 1
+        self.byte_length = np.array([len(whole.get(i, b"")) for i in range(size)])
+        self.byte_start = np.cumsum(self.byte_length) - self.byte_length
+        self.all_bytes = np.frombuffer(b"".join(whole.get(i, b"") for i in range(size)), np.uint8)
+
     def decode(self, ids: pa.ListArray) -> pa.Array:
         flat = ids.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         length = self.byte_length[flat]
@@ -180,7 +189,8 @@ class Codec:
         return pa.array([raw[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.string())
 
 
-_codecs: dict[str, Codec] = {}
+_encoders: dict[str, Encoder] = {}
+_decoders: dict[str, Decoder] = {}
 
 
 class Tokenizer:
@@ -191,11 +201,16 @@ class Tokenizer:
         self.name = hashlib.sha256(raw.encode()).hexdigest()
         self.packed = spark.sparkContext.broadcast((zlib.compress(raw.encode()), zlib.compress(_pieces.character_classes())))
 
-    def codec(self) -> Codec:
-        if self.name not in _codecs:
+    def encoder(self) -> Encoder:
+        if self.name not in _encoders:
             spec, classes = map(zlib.decompress, self.packed.value)
-            _codecs[self.name] = Codec(json.loads(spec), classes)
-        return _codecs[self.name]
+            _encoders[self.name] = Encoder(json.loads(spec), classes)
+        return _encoders[self.name]
+
+    def decoder(self) -> Decoder:
+        if self.name not in _decoders:
+            _decoders[self.name] = Decoder(json.loads(zlib.decompress(self.packed.value[0])))
+        return _decoders[self.name]
 
 
 def encode(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -206,11 +221,11 @@ def encode(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = tokenizer.codec()
+        encoder = tokenizer.encoder()
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 part = b.slice(s, 1024)
-                yield pa.RecordBatch.from_arrays([part.column(0), codec.encode(part.column(1).to_pylist())], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), encoder.encode(part.column(1).to_pylist())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -219,11 +234,11 @@ def decode(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
     """doc_id, ids and the text that ids stand for; bytes that are no valid UTF-8 become U+FFFD, null ids an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = tokenizer.codec()
+        decoder = tokenizer.decoder()
         for b in batches:
             for s in range(0, b.num_rows, 1024):
                 part = b.slice(s, 1024)
-                yield pa.RecordBatch.from_arrays([*part.columns, codec.decode(part.column(1))], names=["doc_id", "ids", "text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, decoder.decode(part.column(1))], names=["doc_id", "ids", "text"])
 
     return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
 

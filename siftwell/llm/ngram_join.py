@@ -46,10 +46,11 @@ class Join:
     percent: int = 80
     percent_of: int = 100
     n: int = 1_000_000
-    #: For costs: the share of other documents that have a good part of their shingles in common with a document, that part, and a pair's cost in signatures.
+    #: For costs: the share of other documents that have a good part of their shingles in common with a document, that
+    #: part, and a pair's cost in signatures (most pairs end at their sketches, inside the join).
     related: float = 1e-4
     common: float = 0.5
-    pair_cost: float = 20.0
+    pair_cost: float = 0.2
 
     def links(self, both: int, a: int, b: int) -> bool:
         return self.percent_of * both >= self.percent * (a + b - both)
@@ -258,17 +259,34 @@ def sets(docs: DataFrame, join: Join) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """id, component (the smallest id reachable) for every id of the edges (u, v). Labels are halved in each round."""
-    both = materialize(edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
-    label = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("id"), F.least("u", "m").alias("component")), "labels")
+    """id, component (the smallest id reachable) for every id of the edges (u, v).
+
+    In each round every id takes the smallest of itself and its neighbours, then what that one takes, and the edges are
+    drawn anew between the labels; the smallest id of a component never changes, so the last label is it.
+    """
+    live = materialize(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    steps: list[DataFrame] = []
     while True:
-        near = both.join(label.select(F.col("id").alias("v"), "component"), "v").groupBy("u").agg(F.min("component").alias("m"))
-        new = label.join(near.withColumnRenamed("u", "id"), "id").select("id", F.least("component", "m").alias("x"), F.col("component").alias("old"))
-        jump = label.select(F.col("id").alias("x"), F.col("component").alias("y"))
-        new = materialize(new.join(jump, "x").select("id", F.least("x", "y").alias("component"), "old"), "labels")
-        label = new.select("id", "component")
-        if not new.filter("component <> old").limit(1).count():
-            return label
+        both = live.select("u", F.col("v").alias("near")).union(live.select("v", "u"))
+        taken = materialize(both.groupBy("u").agg(F.min("near").alias("near")).select(F.col("u").alias("id"), F.least("u", "near").alias("to")), "taken")
+        then = taken.select(F.col("id").alias("to"), F.col("to").alias("x"))
+        steps.append(materialize(taken.join(then, "to").select("id", F.least("to", "x").alias("label")), "labels"))
+        if not steps[-1].limit(1).count():
+            break
+        live = materialize(_relabelled(live, steps[-1], "label"), "edges")
+        if not live.limit(1).count():
+            break
+    out = steps[0].select("id", F.col("label").alias("component"))
+    for later in steps[1:]:
+        out = out.join(later.select(F.col("id").alias("component"), "label"), "component", "left").select("id", F.coalesce("label", "component").alias("component"))
+    return materialize(out, "components")
+
+
+def _relabelled(edges: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """The edges between the labels of their ends; ids without a label keep themselves."""
+    at = lambda end: labels.select(F.col("id").alias(end), F.col(label).alias(f"new_{end}"))
+    rows = edges.join(at("u"), "u", "left").join(at("v"), "v", "left").select(F.coalesce("new_u", "u").alias("u"), F.coalesce("new_v", "v").alias("v"))
+    return rows.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
@@ -291,7 +309,8 @@ def join_components(docs: DataFrame, join: Join) -> DataFrame:
     rows = materialize(index(docs, join), "index")
     classes = materialize(rows.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id")), "classes")
     keys = rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", F.explode("sigs").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("a").alias("lead"), F.max("a").alias("last")).filter("lead < last").select("key", "lead")
+    shared = materialize(keys.groupBy("key").agg(F.min("a").alias("lead"), F.max("a").alias("last")).filter("lead < last").select("key", "lead"), "shared")
+    shared = F.broadcast(shared) if small(shared, 1_500_000) else shared  # 16 bytes a row; then signatures aren't shuffled again
     members = materialize(keys.join(shared, "key").distinct(), "members")  # key, a, lead
     found = materialize(members.select("a").distinct(), "found")
     wanted = classes.join(found, "a", "left_semi").filter("id IS NOT NULL")
@@ -319,7 +338,10 @@ def join_components(docs: DataFrame, join: Join) -> DataFrame:
     pairs = pairs.join(first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
     more = materialize(_verified(materialize(pairs, "pairs"), nodes, join), "links")
     if more.limit(1).count():
-        label = components(edges.union(more))
+        # links between components, then what they make of each component
+        last = components(_relabelled(more, label, "component")).select(F.col("id").alias("component"), F.col("component").alias("to"))
+        every = label.select("id", "component").union(more.select("u").union(more.select("v")).distinct().join(label.select(F.col("id").alias("u")), "u", "left_anti").select("u", F.col("u").alias("component")))
+        label = every.join(last, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
     named = classes.join(label, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

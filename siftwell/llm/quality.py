@@ -56,7 +56,8 @@ def measure(docs: DataFrame, into: str) -> DataFrame:
         "n_dup_lines": F.when(F.instr(t, "\n") > 0, F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0]).otherwise(0).cast("long"),
         "n_repeat_words": F.when(F.col(s).isNull(), 0).otherwise(_repeats(F.col(s))).cast("long"),
     }
-    out = out.withColumn(into, F.struct(*[v.alias(k) for k, v in values.items()]))
+    # explode() of one struct: no filter or projection above it makes Spark evaluate the measures again
+    out = out.select(*given, F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias(into))
     m = F.col(into)
     base = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
     soft = (m["n_symbols"] > MOST_SYMBOLS * m["n_words"]) | (m["n_dup_lines"] > MOST_DUP_LINES * m["n_words"]) | (m["word_chars"] < LEAST_LETTERS * m["n_words"]) | (m["word_chars"] > MOST_LETTERS * m["n_words"])
