@@ -218,19 +218,6 @@ def _parts(b: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
             yield b.slice(a, z - a)
 
 
-def index(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n (size of the set), a, b (128-bit hash of the set) and sigs (its signatures) for every row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for x in _parts(whole):
-                s, size = shingle_sets(x.column(1), join.words)
-                a, b = set_hashes(s, size)
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(*signatures(s, size, join))], names=["doc_id", "n", "a", "b", "sigs"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, sigs array<long>")
-
-
 SKETCH = 8
 
 
@@ -244,18 +231,34 @@ def sketches(s: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     return [np.ascontiguousarray(packed[:, k]) for k in range(SKETCH)]
 
 
+MARKS = [f"s{k}" for k in range(SKETCH)]
+_MARKS = "".join(f", {m} long" for m in MARKS)
+
+
+def index(docs: DataFrame, join: Join) -> DataFrame:
+    """doc_id, n (size of the set), a, b (128-bit hash of the set), sigs (its signatures), s0 .. (its sketch) for every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for x in _parts(whole):
+                s, size = shingle_sets(x.column(1), join.words)
+                a, b = set_hashes(s, size)
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(*signatures(s, size, join)), *map(pa.array, sketches(s, size))], names=["doc_id", "n", "a", "b", "sigs", *MARKS])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, sigs array<long>" + _MARKS)
+
+
 def sets(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, a, b, the set itself and its sketch (s0 ..) for every row."""
-    marks = [f"s{k}" for k in range(SKETCH)]
+    """doc_id, a, b and the set itself for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for x in _parts(whole):
                 s, size = shingle_sets(x.column(1), join.words)
                 a, b = set_hashes(s, size)
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(s, size), *map(pa.array, sketches(s, size))], names=["doc_id", "a", "b", "shingles", *marks])
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(s, size)], names=["doc_id", "a", "b", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long, shingles array<long>" + "".join(f", {m} long" for m in marks))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,14 +292,30 @@ def _relabelled(edges: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     return rows.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """The linked ones of pairs (x, y: class hashes a) as edges (u, v) of ids."""
-    side = lambda s: nodes.select(F.col("a").alias(s), F.col("id").alias(f"id_{s}"), F.col("n").alias(f"n_{s}"), F.col("shingles").alias(f"set_{s}"))
-    near = (F.lit(join.percent_of) * F.least("n_x", "n_y") >= F.lit(join.percent) * F.greatest("n_x", "n_y"))
-    sized = pairs.join(nodes.select(F.col("a").alias("x"), F.col("n").alias("n_x")), "x").join(nodes.select(F.col("a").alias("y"), F.col("n").alias("n_y")), "y").filter(near).select("x", "y").distinct()
-    rows = sized.join(side("y"), "y").join(side("x"), "x").withColumn("both", F.size(F.array_intersect("set_x", "set_y")).cast("long"))
+def _may_link(join: Join) -> Column:
+    """Whether sizes and sketches of the sides x and y allow a link."""
+    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{m}_x").bitwiseXOR(F.col(f"{m}_y"))) for m in MARKS])
+    both = F.col("n_x") + F.col("n_y")
+    # least overlap of a link: percent / (percent + percent_of) of both sizes, rounded up
+    allowed = both - 2 * F.ceil(F.lit(join.percent) * both / F.lit(join.percent + join.percent_of))
+    return (F.lit(join.percent_of) * F.least("n_x", "n_y") >= F.lit(join.percent) * F.greatest("n_x", "n_y")) & (differ <= allowed)
+
+
+def _side(rows: DataFrame, side: str, *columns: str) -> DataFrame:
+    return rows.select(*[F.col(c).alias(f"{c}_{side}") for c in ("a", *columns)])
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """The linked ones of pairs (a_x, a_y: class hashes) as edges (u, v) of ids. Only their sets are read and shuffled."""
+    wanted = pairs.select(F.col("a_x").alias("a")).union(pairs.select("a_y")).distinct()
+    wanted = materialize(nodes.select("a", "b", "id", "n").join(wanted, "a", "left_semi"), "wanted")
+    few = small(wanted, 1_000_000)
+    chosen = sets(docs, join).join(F.broadcast(wanted) if few else wanted, ["a", "b"]).filter("doc_id = id")  # 32 bytes a row, a million at most
+    found = materialize(chosen.select("a", "id", "n", "shingles"), "sets")  # rows that repeat a doc_id repeat links, which are made distinct below
+    rows = pairs.join(_side(found, "y", "id", "n", "shingles"), "a_y").join(_side(found, "x", "id", "n", "shingles"), "a_x")
+    rows = rows.withColumn("both", F.size(F.array_intersect("shingles_x", "shingles_y")).cast("long"))
     rows = rows.filter(F.lit(join.percent_of) * F.col("both") >= F.lit(join.percent) * (F.col("n_x") + F.col("n_y") - F.col("both")))
-    return rows.select(F.col("id_x").alias("u"), F.col("id_y").alias("v")).filter("u <> v")
+    return materialize(rows.select(F.col("id_x").alias("u"), F.col("id_y").alias("v")).filter("u <> v").distinct(), "links")
 
 
 def join_components(docs: DataFrame, join: Join) -> DataFrame:
@@ -307,41 +326,33 @@ def join_components(docs: DataFrame, join: Join) -> DataFrame:
     component of its class, or null. Other columns are not read; an empty table gives no rows.
     """
     rows = materialize(index(docs, join), "index")
-    classes = materialize(rows.filter("n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id")), "classes")
+    classes = materialize(rows.filter("n > 0").groupBy("n", "a", "b", *MARKS).agg(F.min("doc_id").alias("id")), "classes")
     keys = rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", F.explode("sigs").alias("key"))
     shared = materialize(keys.groupBy("key").agg(F.min("a").alias("lead"), F.max("a").alias("last")).filter("lead < last").select("key", "lead"), "shared")
     shared = F.broadcast(shared) if small(shared, 1_500_000) else shared  # 16 bytes a row; then signatures aren't shuffled again
     members = materialize(keys.join(shared, "key").distinct(), "members")  # key, a, lead
-    found = materialize(members.select("a").distinct(), "found")
-    wanted = classes.join(found, "a", "left_semi").filter("id IS NOT NULL")
-    few = small(found, 1_000_000)
-    chosen = sets(docs, join).join(F.broadcast(wanted) if few else wanted, ["a", "b"]).filter("doc_id = id")  # 32 bytes a row, a million at most
-    marks = [f"s{k}" for k in range(SKETCH)]
-    nodes = materialize(chosen.select("a", "b", "id", "n", "shingles", *marks).dropDuplicates(["a", "b", "id"]), "sets")
-    # one leader for each class first: the one that it shares most signatures with
-    first = members.filter("a <> lead").groupBy("a", "lead").count().groupBy("a").agg(F.max_by("lead", F.struct("count", "lead")).alias("lead"))
-    first = materialize(first.select(F.col("lead").alias("x"), F.col("a").alias("y")), "first")
-    edges = materialize(_verified(first, nodes, join), "links")
+    nodes = classes.filter("id IS NOT NULL")
+    # one leader for each class first: of those that sizes and sketches allow the one that it shares most signatures with
+    first = members.filter("a <> lead").groupBy("a", "lead").count().select(F.col("lead").alias("a_x"), F.col("a").alias("a_y"), "count")
+    first = first.join(_side(nodes, "y", "n", *MARKS), "a_y").join(_side(nodes, "x", "n", *MARKS), "a_x").filter(_may_link(join))
+    first = materialize(first.groupBy("a_y").agg(F.max_by("a_x", F.struct("count", "a_x")).alias("a_x")), "first")
+    edges = _verified(docs, first, nodes, join)
     label = components(edges)
-    known = nodes.select("a", "id").join(label, "id", "left").select("a", F.coalesce("component", "id").alias("component"))
-    placed = materialize(members.select("key", "a").join(known, "a"), "placed")
+    known = nodes.join(label, "id", "left").select("a", "n", F.coalesce("component", "id").alias("component"), *MARKS)
+    placed = members.select("key", "a").join(known.select("a", "component"), "a")
     apart = placed.groupBy("key").agg(F.min("component").alias("s"), F.max("component").alias("t")).filter("s < t").select("key")
-    left = placed.join(apart, "key", "left_semi").join(nodes.select("a", "n", *marks), "a")
-    x, y = (left.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "component", "n", *marks)]) for side in "xy")
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"{m}_x").bitwiseXOR(F.col(f"{m}_y"))) for m in marks])
-    both = F.col("n_x") + F.col("n_y")
-    # least overlap of a link: percent / (percent + percent_of) of both sizes, rounded up
-    allowed = both - 2 * F.ceil(F.lit(join.percent) * both / F.lit(join.percent + join.percent_of))
-    near = (F.lit(join.percent_of) * F.least("n_x", "n_y") >= F.lit(join.percent) * F.greatest("n_x", "n_y")) & (differ <= allowed)
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("component_x") < F.col("component_y")) & near)
-    pairs = pairs.select(F.least("a_x", "a_y").alias("x"), F.greatest("a_x", "a_y").alias("y")).distinct()
-    pairs = pairs.join(first.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")), ["x", "y"], "left_anti")
-    more = materialize(_verified(materialize(pairs, "pairs"), nodes, join), "links")
-    if more.limit(1).count():
+    left = members.select("key", "a").join(apart, "key", "left_semi").join(known, "a")
+    x, y = (left.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "component", "n", *MARKS)]) for side in "xy")
+    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("component_x") < F.col("component_y")) & _may_link(join))
+    pairs = pairs.select(F.least("a_x", "a_y").alias("a_x"), F.greatest("a_x", "a_y").alias("a_y")).distinct()
+    tried = first.select(F.least("a_x", "a_y").alias("a_x"), F.greatest("a_x", "a_y").alias("a_y"))
+    pairs = materialize(pairs.join(tried, ["a_x", "a_y"], "left_anti"), "pairs")
+    if pairs.limit(1).count():
+        more = _verified(docs, pairs, nodes, join)
         # links between components, then what they make of each component
         last = components(_relabelled(more, label, "component")).select(F.col("id").alias("component"), F.col("component").alias("to"))
-        every = label.select("id", "component").union(more.select("u").union(more.select("v")).distinct().join(label.select(F.col("id").alias("u")), "u", "left_anti").select("u", F.col("u").alias("component")))
-        label = every.join(last, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+        alone = more.select("u").union(more.select("v")).distinct().join(label.select(F.col("id").alias("u")), "u", "left_anti")
+        label = label.select("id", "component").union(alone.select("u", F.col("u").alias("component"))).join(last, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
     named = classes.join(label, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
