@@ -23,7 +23,7 @@ from functools import lru_cache, reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm._common import fresh, materialize, small, table
@@ -305,13 +305,18 @@ def _side(rows: DataFrame, side: str, *columns: str) -> DataFrame:
     return rows.select(*[F.col(c).alias(f"{c}_{side}") for c in ("a", *columns)])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
-    """The linked ones of pairs (a_x, a_y: class hashes) as edges (u, v) of ids. Only their sets are read and shuffled."""
+def _sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) -> DataFrame:
+    """a, id, n, shingles of the classes in pairs (a_x, a_y); no other sets are shuffled or written."""
     wanted = pairs.select(F.col("a_x").alias("a")).union(pairs.select("a_y")).distinct()
     wanted = materialize(nodes.select("a", "b", "id", "n").join(wanted, "a", "left_semi"), "wanted")
     few = small(wanted, 1_000_000)
     chosen = sets(docs, join).join(F.broadcast(wanted) if few else wanted, ["a", "b"]).filter("doc_id = id")  # 32 bytes a row, a million at most
-    found = materialize(chosen.select("a", "id", "n", "shingles"), "sets")  # rows that repeat a doc_id repeat links, which are made distinct below
+    return materialize(chosen.select("a", "id", "n", "shingles"), "sets")  # rows that repeat a doc_id repeat links, which become distinct
+
+
+def _linked(pairs: DataFrame, found: DataFrame, join: Join) -> DataFrame:
+    """The linked ones of pairs (a_x, a_y: class hashes) as edges (u, v) of ids."""
+    pairs = pairs.select("a_x", "a_y")
     rows = pairs.join(_side(found, "y", "id", "n", "shingles"), "a_y").join(_side(found, "x", "id", "n", "shingles"), "a_x")
     rows = rows.withColumn("both", F.size(F.array_intersect("shingles_x", "shingles_y")).cast("long"))
     rows = rows.filter(F.lit(join.percent_of) * F.col("both") >= F.lit(join.percent) * (F.col("n_x") + F.col("n_y") - F.col("both")))
@@ -336,7 +341,7 @@ def join_components(docs: DataFrame, join: Join) -> DataFrame:
     first = members.filter("a <> lead").groupBy("a", "lead").count().select(F.col("lead").alias("a_x"), F.col("a").alias("a_y"), "count")
     first = first.join(_side(nodes, "y", "n", *MARKS), "a_y").join(_side(nodes, "x", "n", *MARKS), "a_x").filter(_may_link(join))
     first = materialize(first.groupBy("a_y").agg(F.max_by("a_x", F.struct("count", "a_x")).alias("a_x")), "first")
-    edges = _verified(docs, first, nodes, join)
+    edges = _linked(first, _sets_of(docs, first, nodes, join), join)
     label = components(edges)
     known = nodes.join(label, "id", "left").select("a", "n", F.coalesce("component", "id").alias("component"), *MARKS)
     placed = members.select("key", "a").join(known.select("a", "component"), "a")
@@ -344,15 +349,31 @@ def join_components(docs: DataFrame, join: Join) -> DataFrame:
     left = members.select("key", "a").join(apart, "key", "left_semi").join(known, "a")
     x, y = (left.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "component", "n", *MARKS)]) for side in "xy")
     pairs = x.join(y, (x["key"] == y["key"]) & (F.col("component_x") < F.col("component_y")) & _may_link(join))
-    pairs = pairs.select(F.least("a_x", "a_y").alias("a_x"), F.greatest("a_x", "a_y").alias("a_y")).distinct()
+    turned = F.col("a_x") > F.col("a_y")
+    pairs = pairs.select(F.least("a_x", "a_y").alias("a_x"), F.greatest("a_x", "a_y").alias("a_y"), F.when(turned, F.col("component_y")).otherwise(F.col("component_x")).alias("cx"), F.when(turned, F.col("component_x")).otherwise(F.col("component_y")).alias("cy")).distinct()
     tried = first.select(F.least("a_x", "a_y").alias("a_x"), F.greatest("a_x", "a_y").alias("a_y"))
     pairs = materialize(pairs.join(tried, ["a_x", "a_y"], "left_anti"), "pairs")
-    if pairs.limit(1).count():
-        more = _verified(docs, pairs, nodes, join)
-        # links between components, then what they make of each component
-        last = components(_relabelled(more, label, "component")).select(F.col("id").alias("component"), F.col("component").alias("to"))
-        alone = more.select("u").union(more.select("v")).distinct().join(label.select(F.col("id").alias("u")), "u", "left_anti")
-        label = label.select("id", "component").union(alone.select("u", F.col("u").alias("component"))).join(last, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    found = _sets_of(docs, pairs, nodes, join) if pairs.limit(1).count() else None
+    take = 1
+    while found is not None:
+        # of each two components `take` pairs; what links joins them, and their other pairs need no look
+        own = Window.partitionBy(F.least("cx", "cy"), F.greatest("cx", "cy")).orderBy("a_x", "a_y")
+        ranked = materialize(pairs.withColumn("nth", F.row_number().over(own)), "pairs")
+        more = _linked(ranked.filter(F.col("nth") <= take), found, join)
+        pairs = ranked.filter(F.col("nth") > take).drop("nth")
+        if more.limit(1).count():
+            # links between components, then what they make of each component
+            last = components(_relabelled(more, label, "component")).select("id", F.col("component").alias("to"))
+            to = lambda c, last=last: last.select(F.col("id").alias(c), F.col("to").alias(f"to_{c}"))
+            alone = more.select("u").union(more.select("v")).distinct().join(label.select(F.col("id").alias("u")), "u", "left_anti")
+            label = label.select("id", "component").union(alone.select("u", F.col("u").alias("component"))).join(to("component"), "component", "left")
+            label = materialize(label.select("id", F.coalesce("to_component", "component").alias("component")), "labels")
+            pairs = pairs.join(to("cx"), "cx", "left").join(to("cy"), "cy", "left")
+            pairs = pairs.select("a_x", "a_y", F.coalesce("to_cx", "cx").alias("cx"), F.coalesce("to_cy", "cy").alias("cy")).filter("cx <> cy")
+        pairs = materialize(pairs, "pairs")
+        take *= 8
+        if not pairs.limit(1).count():
+            break
     named = classes.join(label, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component"))
     out = rows.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
