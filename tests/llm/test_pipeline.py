@@ -24,6 +24,7 @@ def corpus():
         rows.append((i, rows[i - 70][1] + " tail"))
     rows += [(100, "too short"), (101, None), (102, "la la la " * 60), (103, rows[0][1] + ' token = "abcdefgh12345678" end')]
     rows += [(104, rows[30][1].replace(" ", "\n") + " " + "0f" * 20)]
+    rows += [(105, " ".join(rng.choices(words, k=90)) + ' password: "abcdefgh12345678" end')]  # no near copy of another
     return [(i, t, "en", f"s{i % 3}", len(t) if t is not None else None) for i, t in rows]
 
 
