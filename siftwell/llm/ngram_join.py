@@ -12,6 +12,9 @@ leader. Links make components; then every pair of a bucket that the components s
 that could join two components is missed, and none within one need be looked for. Such a pair is a row only if sizes and
 parity sketches allow a link: a shingle flips one of 512 bits, so two sets differ in at least as many shingles as their
 sketches in bits. Verification counts whole sets.
+
+A document's number of links takes every pair: all links of a class lie in its component, so each component's sets are
+dealt into blocks, and every two blocks meet in one task, which counts all their overlaps and returns sums, not pairs.
 """
 
 from __future__ import annotations
@@ -323,13 +326,8 @@ def _linked(pairs: DataFrame, found: DataFrame, join: Join) -> DataFrame:
     return materialize(rows.select(F.col("id_x").alias("u"), F.col("id_y").alias("v")).filter("u <> v").distinct(), "links")
 
 
-def join_components(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of (doc_id, text).
-
-    Texts without words (null, empty, blank) have empty sets and are linked with nothing. Repeated rows and rows that
-    share a doc_id are one document and have one component. A row without a doc_id links nothing itself; it gets the
-    component of its class, or null. Other columns are not read; an empty table gives no rows.
-    """
+def _labelled(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """The index of all rows; n, a, b, id, component of all classes (id: the smallest doc_id, null if there is none)."""
     rows = materialize(index(docs, join), "index")
     classes = materialize(rows.filter("n > 0").groupBy("n", "a", "b", *MARKS).agg(F.min("doc_id").alias("id")), "classes")
     keys = rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", F.explode("sigs").alias("key"))
@@ -374,11 +372,116 @@ def join_components(docs: DataFrame, join: Join) -> DataFrame:
         take *= 8
         if not pairs.limit(1).count():
             break
-    named = classes.join(label, "id", "left").select("n", "a", "b", F.coalesce("component", "id").alias("component"))
-    out = rows.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
+    return rows, classes.join(label, "id", "left").select("n", "a", "b", "id", F.coalesce("component", "id").alias("component"))
+
+
+def join_components(docs: DataFrame, join: Join) -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of (doc_id, text).
+
+    Texts without words (null, empty, blank) have empty sets and are linked with nothing. Repeated rows and rows that
+    share a doc_id are one document and have one component. A row without a doc_id links nothing itself; it gets the
+    component of its class, or null. Other columns are not read; an empty table gives no rows.
+    """
+    rows, named = _labelled(docs, join)
+    out = rows.select("doc_id", "n", "a", "b").join(named.select("n", "a", "b", "component"), ["n", "a", "b"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+#: Classes and shingles of a block, as a mean.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
+
+
+def _spans(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start, start + 1 .. of each span of count places, one after the other."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
+def overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], nx: int, ny: int, most: int = 1 << 22) -> np.ndarray:
+    """How many values each set of x has in common with each of y; x and y: values in order, and the set of each."""
+    (ex, ox), (ey, oy) = x, y
+    u = np.intersect1d(ex, ey)
+    lx, ly = np.searchsorted(ex, u), np.searchsorted(ey, u)
+    cx, cy = np.searchsorted(ex, u, "right") - lx, np.searchsorted(ey, u, "right") - ly
+    often = cx * cy > 1024
+    total = np.zeros(nx * ny, np.int64)
+    # what few sets have: its pairs one by one
+    l, c, m, k = lx[~often], cx[~often], ly[~often], cy[~often]
+    parts = np.cumsum(c * k) // most
+    for part in np.unique(parts):
+        at = np.flatnonzero(parts == part)
+        each = np.repeat(k[at], c[at])
+        total += np.bincount(np.repeat(ox[_spans(l[at], c[at])], each) * ny + oy[_spans(np.repeat(m[at], c[at]), each)], minlength=nx * ny)
+    total = total.reshape(nx, ny)
+    # what many have: a product of matrices, exact below 2^24
+    l, c, m, k = lx[often], cx[often], ly[often], cy[often]
+    for at in range(0, len(l), 1024):
+        has = []
+        for start, count, owner, n in ((l, c, ox, nx), (m, k, oy, ny)):
+            start, count = start[at : at + 1024], count[at : at + 1024]
+            has.append(np.zeros((n, len(start)), np.float32))
+            has[-1][owner[_spans(start, count)], np.repeat(np.arange(len(start)), count)] = 1
+        total += (has[0] @ has[1].T).astype(np.int64)
+    return total
+
+
+def _near(t: pa.Table, join: Join) -> pa.Table:
+    """a and near (copies of its linked classes) from the sets of two blocks i and j, or of one."""
+    t = t.take(np.unique(t["a"].to_numpy(), return_index=True)[1])  # rows that repeat a doc_id
+    i, j = t["i"][0].as_py(), t["j"][0].as_py()
+    lists = t["shingles"].combine_chunks()
+    size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    # of one component only: a remixed hash
+    e = _mix(lists.flatten().to_numpy().view(_U) ^ np.repeat(_mix(t["component"].to_numpy().view(_U)), size))
+    owner, order = np.repeat(np.arange(len(size)), size), np.argsort(e, kind="stable")
+    e, owner = e[order], owner[order]
+    a, copies, block = (t[c].to_numpy() for c in ("a", "copies", "block"))
+    rows, sides = [], []
+    for k in (i, j):
+        own = block == k
+        place = np.cumsum(own) - 1
+        rows.append(np.flatnonzero(own))
+        sides.append((e[own[owner]], place[owner[own[owner]]]))
+    x, y = rows
+    if not len(x) or not len(y):
+        return pa.table({"a": pa.array([], pa.int64()), "near": pa.array([], pa.int64())})
+    both = overlaps(*sides, len(x), len(y))
+    linked = join.percent_of * both >= join.percent * (size[x][:, None] + size[y][None, :] - both)
+    if i == j:
+        np.fill_diagonal(linked, False)
+        return pa.table({"a": a[x], "near": linked @ copies[y]})
+    return pa.table({"a": np.concatenate([a[x], a[y]]), "near": np.concatenate([linked @ copies[y], copies[x] @ linked])})
+
+
+def join_links(docs: DataFrame, join: Join) -> DataFrame:
+    """doc_id, n_shingles, class_id, component_id, n_links for every row of (doc_id, text).
+
+    class_id is the smallest doc_id of the same set; n_links counts all other documents that are linked with the row's
+    set, those of the same set too. A doc_id with several sets counts once in each. Without words a row is a class of
+    its own with no links; without a doc_id its n_links is null. Otherwise as join_components().
+    """
+    rows, named = _labelled(docs, join)
+    copies = rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", "doc_id").distinct().groupBy("a").agg(F.count("*").alias("copies"))
+    named = materialize(named.join(copies, "a", "left"), "named")
+    # blocks: of a large component several, of small ones many components in one bin
+    large = F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    sizes = named.filter("id IS NOT NULL").groupBy("component").agg(large.alias("blocks"), F.count("*").alias("sets"), F.sum("n").alias("shingles")).filter("sets > 1")
+    sizes = materialize(sizes, "sizes")
+    one = sizes.filter("blocks = 1").agg(F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles")).first()
+    bins = 1 + max((one["sets"] or 0) // (BLOCK_SETS // 2), (one["shingles"] or 0) // (BLOCK_SHINGLES // 2))
+    bin_ = F.when(F.col("blocks") > 1, F.col("component"))  # a large component's own group; the others' in bin
+    wanted = named.join(sizes, "component").select("a", "b", "id", "component", "copies", "blocks", bin_.alias("own"), F.when(bin_.isNull(), F.pmod(F.xxhash64("component"), F.lit(bins))).alias("bin"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"))
+    wanted = materialize(wanted, "wanted")
+    chosen = sets(docs, join).join(F.broadcast(wanted) if small(wanted, 500_000) else wanted, ["a", "b"]).filter("doc_id = id")  # 72 bytes a row
+    met = chosen.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    met = met.select("own", "bin", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "component", "copies", "shingles")
+    near = met.groupBy("own", "bin", "i", "j").applyInArrow(lambda t: _near(t, join), "a long, near long").groupBy("a").agg(F.sum("near").alias("near"))
+    named = materialize(named.join(near, "a", "left").select("n", "a", "b", "id", "component", (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("links")), "links")
+    out = rows.select("doc_id", "n", "a", "b").join(named, ["n", "a", "b"], "left")
+    own = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id"))
+    links = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("links")).otherwise(0))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), own("id").alias("class_id"), own("component").alias("component_id"), links.alias("n_links"))
+
+
 def keep_one(docs: DataFrame, join: Join) -> DataFrame:
     """The rows of docs without those whose component has a smaller doc_id; of rows that share a doc_id the first by text.
 
@@ -403,6 +506,12 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(docs, Join(words=3, percent=90, n=docs.count()))
 
 
+def op8_ngram_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as in op8_ngram_jaccard, with their classes and numbers of links."""
+    docs = table(spark, sf_dir, "documents")
+    return join_links(docs, Join(words=3, percent=90, n=docs.count()))
+
+
 OP8_SQL = r"""
 WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM w),
@@ -412,3 +521,7 @@ l AS (SELECT u, v FROM p WHERE 100 * common >= 90 * (na + nb - common)),
 r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT l.v AS doc_id, r.c FROM r JOIN l ON l.u = r.doc_id)
 SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.c AS component_id FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) AS m USING (doc_id)
 """
+
+OP8_LINKS_SQL = OP8_SQL[: OP8_SQL.rindex("SELECT s.doc_id")] + r"""SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, CASE WHEN len(s.s) = 0 THEN s.doc_id ELSE min(s.doc_id) OVER (PARTITION BY list_sort(s.s)) END AS class_id, m.c AS component_id, coalesce(k.n, 0)::BIGINT AS n_links
+FROM s JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY 1) AS m USING (doc_id) LEFT JOIN (SELECT u AS doc_id, count(*) AS n FROM l GROUP BY 1) AS k USING (doc_id)
+"""

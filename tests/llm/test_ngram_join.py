@@ -121,3 +121,40 @@ def test_hot_group_of_near_copies(spark):
     join = Join(3, 90, n=200)
     docs = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA)
     assert sorted(map(tuple, ngram_join.join_components(docs, join).collect()), key=str) == brute(rows, join)
+
+
+def links_by_brute_force(rows, join):
+    """n_links of each row: the other doc_ids of linked sets, each counted once for each of its sets."""
+    s = [(i, frozenset(shingles(t, join.words))) for i, t in rows]
+    nodes = {x for x in s if x[0] is not None and x[1]}
+    linked = lambda a, b: join.links(len(a & b), len(a), len(b))
+    return sorted([(i, None if i is None else sum(linked(a, b) for k, b in nodes if (k, b) != (i, a)) if a else 0) for i, a in s], key=str)
+
+
+@pytest.mark.parametrize(("join", "seed", "block"), [(Join(3, 90, n=160), 1, 1024), (Join(5, 80, n=160), 2, 4), (Join(3, 90, n=10**11), 3, 16)])
+def test_links_against_brute_force(spark, monkeypatch, join, seed, block):
+    """All links, those inside a component too, in one block or in many."""
+    monkeypatch.setattr(ngram_join, "BLOCK_SETS", block)
+    rng = random.Random(seed)
+    base = [f"v{i}" for i in range(80)]
+    group = [(2000 + i, " ".join(base[:p] + [f"x{i}"] + base[p + 1 :])) for i, p in enumerate(rng.choices(range(80), k=60))]
+    rows = corpus(seed) + group + [(3000, group[0][1]), (900, None), (901, ""), (903, "A b"), (904, "a B"), (3, corpus(seed)[3][1]), (None, corpus(seed)[5][1]), (None, "alone here"), (None, None)]
+    docs = spark.createDataFrame([(*r, 0, "x") for r in rows], SCHEMA)
+    got = ngram_join.join_links(docs, join).collect()
+    assert sorted([(r.doc_id, r.n_links) for r in got], key=str) == links_by_brute_force(rows, join)
+    assert sorted([(r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == brute(rows, join)
+    assert max(r.n_links for r in got if r.doc_id is not None and r.doc_id >= 2000) > 1
+    assert ngram_join.join_links(docs.limit(0), join).count() == 0
+
+
+def test_links_query_against_its_sql(spark):
+    import duckdb
+
+    from siftwell.llm import registry
+
+    con, sf = duckdb.connect(), "/root/testdata/sf0.001"
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = con.sql(registry.ORACLE_SQL["op8_ngram_links"])
+    got = registry.QUERIES["op8_ngram_links"](spark, sf)
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
