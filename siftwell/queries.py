@@ -204,6 +204,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return collect.by_field(rows, rows, "quality", 50, missing=-1)
 
 
+@query("k07_sort_missing_all", "SELECT doc_id, coalesce(quality, -1)::INTEGER AS value FROM (SELECT doc_id FROM documents) LEFT JOIN labels USING (doc_id)", cte=False)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Every candidate; k07_sort_missing has the first 50."""
+    rows = table(s, d, "documents").select("doc_id").join(table(s, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return collect.by_field(rows, rows, "quality", missing=-1)
+
+
 @query("k09_range_sorted", "SELECT o_orderkey AS doc_id, o_totalprice AS value FROM orders WHERE o_custkey BETWEEN 10 AND 500 ORDER BY value DESC, doc_id LIMIT 25", cte=False)
 def _(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "orders").withColumnRenamed("o_orderkey", "doc_id")
@@ -217,6 +224,13 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return collect.by_field(rows, rows, "lines", 25, descending=True, selector="max")
 
 
+@query("k10_multi_valued_sort_all", "SELECT l_orderkey AS doc_id, max(l_linenumber)::BIGINT AS value FROM lineitem GROUP BY 1", cte=False)
+def _(s: SparkSession, d: str) -> DataFrame:
+    """Every candidate; k10_multi_valued_sort has the first 25."""
+    rows = _orders(s, d)
+    return collect.by_field(rows, rows, "lines", descending=True, selector="max")
+
+
 # facets
 @query("a01_facet_counts", "SELECT label, count(h.doc_id) AS count FROM (SELECT doc_id, source AS label FROM documents WHERE source IS NOT NULL) LEFT JOIN (SELECT doc_id FROM p WHERE term = 'the') AS h USING (doc_id) GROUP BY label")
 def _(s: SparkSession, d: str) -> DataFrame:
