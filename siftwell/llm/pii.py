@@ -5,10 +5,20 @@ addresses are found in whole texts. Each is permuted within its own format by a
 get equal pseudonyms in every document, different values different ones, and a pseudonym is valid where the value was:
 cards pass Luhn's sum, dates exist, octets fit. What fails its check stays as it is. Round functions are SHA-256 of key,
 round and the other half.
+
+Telephone numbers: +code with 7 to 15 digits, whether or not single spaces, dots or hyphens part them; an area code in
+parentheses; 0 and area code, then space, slash or hyphen; 01 23 45 67 89; 555-123-4567 and 555.123.4567. Cards: digits
+alone, or groups of 4-4-4-4, 4-6-5 or 4-6-4. Left out, and so in clear: local numbers without an area code, national ones
+without separators or with spaces only and no leading 0, +44 (0)20 forms, 00 in place of + without separators,
+extensions; cards grouped in other ways; IPv6; dates in words, of one-digit or two-digit parts or with hyphens in
+another order; e-mail addresses with letters beyond a-z in the domain or with a quoted name. The domain stays by design.
 """
 
 from __future__ import annotations
 
+import unicodedata
+from itertools import groupby
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,13 +30,50 @@ _IP = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d]|\.\d)"
 _ISO = r"(?<![\d-])\d{4}-\d\d-\d\d(?![\d-])"
 _DOTTED = r"(?<![\d.])\d\d\.\d\d\.\d{4}(?![\d]|\.\d)"
 _SLASHED = r"(?<![\d/])\d\d/\d\d/\d{4}(?![\d/])"
-_PHONE = r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)|(?<![\d+])\+\d{1,3}(?:[ .-]\d{2,4}){2,4}(?!\d)"
-_CARD = r"(?<![0-9A-Za-z])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3})(?![0-9A-Za-z])"
-PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _IP, _ISO, _DOTTED, _SLASHED, _PHONE, _CARD))
+_PHONE = "|".join(
+    (
+        r"(?<![\d+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}(?!\d)",
+        r"(?<![\d+])\+(?:\d[ .-]?){6,14}\d(?!\d)",
+        r"(?<![\w+])(?<!\d[.,/-])0\d{2,4}[ /-]\d(?:[ -]?\d){3,9}(?![\w])",
+        r"(?<![\w+])(?<!\d[.,/-])0\d(?: \d\d){4}(?![\w])",
+        r"(?<![\w+])(?<!\d[.,/-])(?:1[.-])?\d{3}(?:-\d{3}-|\.\d{3}\.)\d{4}(?![\w]|[.-]\d)",
+    )
+)
+_CARDS = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}"
+_CARD = rf"(?<![0-9A-Za-z])(?:{_CARDS})(?![0-9A-Za-z])"
+PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _IP, _ISO, _DOTTED, _SLASHED, _CARD, _PHONE))
 #: Days of a Gregorian cycle of 400 years, 189 x 773, from this date on.
 CYCLE, RADIX_A, RADIX_B, FIRST_DAY = 146_097, 189, 773, "1700-01-01"
 
 
+def _classes(least: int = 8) -> tuple[list[tuple[int, int]], str]:
+    """Letters and numerals beyond ASCII: runs of code points (first, size), split by category where that leaves enough, and the letters of no such run."""
+    kinds = [(p, unicodedata.category(chr(p))) for p in range(0x80, 0x110000)]
+    runs, rest = [], []
+    for wanted, run in groupby(kinds, lambda x: x[1][0] if x[1][0] in "LN" else ""):
+        if not wanted:
+            continue
+        parts: list[list[int]] = []
+        long_before = True
+        for _, part in groupby(run, lambda x: x[1]):
+            own = [p for p, _ in part]
+            long = len(own) >= least
+            if parts and not long and not long_before:
+                parts[-1] += own
+            else:
+                parts.append(own)
+            long_before = long
+        for part in parts:
+            if len(part) >= least:
+                runs.append((part[0], len(part)))
+            else:
+                rest += part
+    return runs, "".join(map(chr, rest))
+
+
+RUNS, REST = _classes()
+
+
 def _hash(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), *[p.cast("string") for p in parts]), 256)
 
@@ -52,12 +99,20 @@ def _chars(s: Column) -> Column:
 
 
 def _shifted(s: Column, hexes: Column) -> Column:
-    """Every digit and letter of s moved within its class by two hexadecimal digits of hexes; the rest stays."""
+    """Every digit and letter of s moved within its class by two or four hexadecimal digits of hexes; the rest stays."""
+    runs = F.expr(f"from_json('{[{'f': f, 'n': n} for f, n in RUNS]}', 'array<struct<f:int,n:int>>')".replace("'f'", '"f"').replace("'n'", '"n"'))
+
+    def other(c: Column, p: Column) -> Column:
+        n = F.conv(F.substr(hexes, F.pmod(4 * (p - 1), F.lit(64)) + 1, F.lit(4)), 16, 10).cast("int")
+        code, at = F.ascii(c), F.instr(F.lit(REST), c)
+        run = F.filter(runs, lambda r: (r["f"] <= code) & (code < r["f"] + r["n"]))
+        moved = F.transform(run, lambda r: F.decode(F.unhex(F.lpad(F.hex(r["f"] + F.pmod(code - r["f"] + n, r["n"])), 8, "0")), "UTF-32"))
+        return F.coalesce(F.get(moved, F.lit(0)), F.when(at > 0, F.substr(F.lit(REST), F.pmod(at - 1 + n, F.lit(len(REST))) + 1, F.lit(1))), c)
 
     def one(p: Column) -> Column:
         c, n = F.substr(s, p, F.lit(1)), F.conv(F.substr(hexes, F.pmod(2 * (p - 1), F.lit(64)) + 1, F.lit(2)), 16, 10).cast("int")
         turn = lambda first, size: F.char(F.lit(ord(first)) + F.pmod(F.ascii(c) - ord(first) + n, F.lit(size)))
-        return F.when(c.between("0", "9"), turn("0", 10)).when(c.between("a", "z"), turn("a", 26)).when(c.between("A", "Z"), turn("A", 26)).otherwise(c)
+        return F.when(c.between("0", "9"), turn("0", 10)).when(c.between("a", "z"), turn("a", 26)).when(c.between("A", "Z"), turn("A", 26)).when(c < "\x80", c).otherwise(other(c, p))
 
     return F.array_join(F.transform(_chars(s), one), "")
 
@@ -135,8 +190,8 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(m.rlike(r"\A\d{4}-\d\d-\d\d\z"), _date(m, "yyyy-MM-dd", key))
         .when(m.rlike(r"\A\d\d\.\d\d\.\d{4}\z"), _date(m, "dd.MM.yyyy", key))
         .when(m.rlike(r"\A\d\d/\d\d/\d{4}\z"), _date(m, "dd/MM/yyyy", key))
-        .when(m.rlike(r"[+(]"), _phone(m, key))
-        .otherwise(_card(m, key))
+        .when(m.rlike(rf"\A(?:{_CARDS})\z"), _card(m, key))
+        .otherwise(_phone(m, key))
     )
 
 

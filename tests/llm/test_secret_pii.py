@@ -112,6 +112,29 @@ def test_links_in_text_and_what_stays(spark):
     assert m and (m[2], m[3], m[4]) == (m[7], m[6], m[5]) == (m[10], m[9], m[8]) and m[1] != "a.b"
 
 
+def test_letters_beyond_ascii_move(spark):
+    names = ["иван", "ПЁТР", "李小龙", "éàü", "ıłşž", "αβγ", "한국", "ひらがな", "ªµº", "٣٤", "Ünal.öz"]
+    names += [chr(0x0430 + k) + chr(0x0430 + n) for k in range(10) for n in range(10)]
+    got = [g.removesuffix("@example.com") for g in run(spark, [f"{n}@example.com" for n in names])]
+    assert len(set(got)) == len(names) and sum(g == n for g, n in zip(got, names, strict=True)) <= 1
+    for g, n in zip(got[:11], names, strict=False):
+        assert g != n and len(g) == len(n) and all(c.isalnum() == d.isalnum() for c, d in zip(g, n, strict=True))
+    assert all("\u0430" <= c <= "\u045f" for g in got[11:] for c in g)
+
+
+def test_forms_of_telephones_and_cards(spark):
+    phones = ["+4915112345678", "+49 170 1234567", "030 1234567", "0171/1234567", "01 23 45 67 89", "555-123-4567", "555.123.4567", "1-555-123-4567", "+9 (999) 999-9999", "+44 20 7946 0958"]
+    cards = ["3782 822463 10005", "3782-822463-10005", "3056 930902 5904"]
+    values = phones + cards
+    got = run(spark, [f"call {v}, or" for v in values])
+    for v, g in zip(values, got, strict=True):
+        assert g != f"call {v}, or" and re.sub(r"\d", "9", g) == re.sub(r"\d", "9", f"call {v}, or"), v
+    assert all(luhn(re.sub(r"\D", "", g)) for g in got[len(phones) :])
+    assert not run(spark, ["+49 170 1234567 123456"])[0].startswith("+49 170 1234567")
+    same = ["3782 822463 10006", "12 345 678", "01-02-2020", "1,000 12345", "3.000 1234567", "v1.555.123.4567", "2023-02-30"]
+    assert run(spark, same) == same
+
+
 @pytest.mark.parametrize("a,b", [(1, 7), (11, 13)])
 def test_permutation(spark, a, b):
     from pyspark.sql import functions as F
