@@ -326,6 +326,15 @@ def _linked(pairs: DataFrame, found: DataFrame, join: Join) -> DataFrame:
     return materialize(rows.select(F.col("id_x").alias("u"), F.col("id_y").alias("v")).filter("u <> v").distinct(), "links")
 
 
+def _same_document(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (u, v) that join the classes of each doc_id with several sets."""
+    worded = rows.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "a", "b")
+    several = worded.groupBy("doc_id").agg(F.min("a").alias("first"), F.max("a").alias("last")).filter("first < last").select("doc_id")
+    own = worded.join(materialize(several, "several"), "doc_id", "left_semi").join(nodes.select("n", "a", "b", "id"), ["n", "a", "b"])
+    own = materialize(own.select("doc_id", "id").distinct(), "own")
+    return own.join(own.groupBy("doc_id").agg(F.min("id").alias("u")), "doc_id").select("u", F.col("id").alias("v")).filter("u <> v").distinct()
+
+
 def _labelled(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """The index of all rows; n, a, b, id, component of all classes (id: the smallest doc_id, null if there is none)."""
     rows = materialize(index(docs, join), "index")
@@ -340,7 +349,7 @@ def _labelled(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     first = first.join(_side(nodes, "y", "n", *MARKS), "a_y").join(_side(nodes, "x", "n", *MARKS), "a_x").filter(_may_link(join))
     first = materialize(first.groupBy("a_y").agg(F.max_by("a_x", F.struct("count", "a_x")).alias("a_x")), "first")
     edges = _linked(first, _sets_of(docs, first, nodes, join), join)
-    label = components(edges)
+    label = components(edges.union(_same_document(rows, nodes)))
     known = nodes.join(label, "id", "left").select("a", "n", F.coalesce("component", "id").alias("component"), *MARKS)
     placed = members.select("key", "a").join(known.select("a", "component"), "a")
     apart = placed.groupBy("key").agg(F.min("component").alias("s"), F.max("component").alias("t")).filter("s < t").select("key")

@@ -158,3 +158,12 @@ def test_links_query_against_its_sql(spark):
     got = registry.QUERIES["op8_ngram_links"](spark, sf)
     assert sorted(want.columns) == sorted(got.columns)
     assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(want.fetchall())
+
+
+def test_a_doc_id_with_two_texts_joins_their_classes(spark):
+    one, two = "one text of seven words in all", "quite another text that has other words"
+    rows = [(5, one), (5, two), (7, one), (3, two), (9, "a third text with no copy at all"), (None, one)]
+    docs = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA)
+    got = sorted(map(tuple, ngram_join.join_components(docs, Join(3, 90, n=6)).collect()), key=str)
+    assert got == brute(rows, Join(3, 90, n=6))
+    assert sorted(r.doc_id for r in ngram_join.keep_one(docs, Join(3, 90, n=6)).collect() if r.doc_id is not None) == [3, 9]
