@@ -9,7 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[tuple[SparkSession, str]] = []
+#: By id of the table; the tables themselves, so that no id comes twice.
+_written: dict[int, tuple[SparkSession, str, DataFrame]] = {}
 
 #: Rows of a lookup side that may be broadcast; above it the operators take a shuffled join.
 BROADCAST_ROWS = 200_000
@@ -35,16 +36,28 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[id(out)] = (spark, path, out)
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def free(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote and that nothing reads any more; leaves others alone."""
+    for df in tables:
+        if id(df) in _written:
+            _delete(*_written.pop(id(df))[:2])
 
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _written:
+    for spark, path, _ in _written.values():
         try:
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session has ended  # noqa: BLE001
             return
 

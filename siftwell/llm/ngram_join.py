@@ -7,9 +7,14 @@ share the segment's hash, or that of the segment with one shingle deleted. A set
 one below. How many segments allow 0 and how many 1 is chosen for each band by cost: signatures written against chance
 collisions to be verified, which grow with the number of documents.
 
+Each band has more segments than it needs, and so each set may leave out as many: its empty ones, then those of the longest
+lists, as counted over the corpus. What two linked sets share is worth more than either may leave out, and as all order
+signatures alike (longest list first), neither leaves out the last of what they share.
+
 Equal sets are one class; classes meet, not copies. In a signature's bucket each class is first verified against one
-leader. Links make components; then every pair of a bucket that the components still separate is looked at, so no link
-that could join two components is missed, and none within one need be looked for. Such a pair is a row only if sizes and
+leader. Links make components; then every pair of a bucket that the components still separate is looked at (first one for
+each two components, then all that are left), so no link that could join two components is missed, and none within one need
+be looked for. Such a pair is a row only if sizes and
 parity sketches allow a link: a shingle flips one of 512 bits, so two sets differ in at least as many shingles as their
 sketches in bits. Verification counts whole sets.
 
@@ -19,6 +24,7 @@ dealt into blocks, and every two blocks meet in one task, which counts all their
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache, reduce
@@ -29,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import fresh, materialize, small, table
+from siftwell.llm._common import free, fresh, materialize, small, table
 
 _U = np.uint64
 
@@ -54,6 +60,8 @@ class Join:
     related: float = 1e-4
     common: float = 0.5
     pair_cost: float = 0.2
+    #: Segments to be left out, as a share of those that are needed.
+    spare_share: float = 0.15
 
     def links(self, both: int, a: int, b: int) -> bool:
         return self.percent_of * both >= self.percent * (a + b - both)
@@ -76,10 +84,16 @@ class Join:
         most = high + high * self.percent_of // self.percent
         return max(s - 2 * -(-self.percent * s // (self.percent + self.percent_of)) for s in range(max(2 * low, most - 2 * self.percent_of), most + 1))
 
+    def spare(self, band: int) -> int:
+        """What a set may leave out: a segment that allows no difference counts 1, one that allows one counts 2."""
+        return math.ceil((self.reach(band) + 1) * self.spare_share) if self.reach(band) else 0
+
     @lru_cache(maxsize=None)  # noqa: B019
     def segments(self, band: int) -> tuple[int, int]:
-        """How many segments allow no difference, and how many one, at the least estimated cost."""
-        need, size = self.reach(band) + 1, self.lowest(band)
+        """How many segments allow no difference, and how many one, at the least estimated cost; none if only equal sets link."""
+        need, size = self.reach(band) + 1 + self.spare(band), self.lowest(band)
+        if not self.reach(band):
+            return 1, 0
 
         def cost(ones: int) -> float:
             zeros = max(0, need - 2 * ones)
@@ -173,16 +187,21 @@ def set_hashes(s: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         return tuple(_mix(_sums(_mix(s + _U(k)), owner, len(size)) + size.astype(_U)) for k in (0x5851F42D4C957F2D, 0x14057B7EF767814F))
 
 
-def signatures(s: np.ndarray, size: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """The signatures of each set, set by set in order, and how many each has."""
+def allocated(s: np.ndarray, size: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The signatures of each set, set by set in order, how many each has, and what it may still leave out in its schemes
+    of even and of odd number.
+
+    The lowest bit of a signature is that of its scheme's number; the next is set if its segment allows a difference.
+    Empty segments are left out first, as far as may be.
+    """
     n = len(size)
-    found, owners = [], []
+    found, owners, spare = [], [], [np.zeros(n, np.int32), np.zeros(n, np.int32)]
     bands = np.array([join.band(int(x)) if x else -1 for x in range(int(size.max(initial=0)) + 1)])[size] if n else np.zeros(0, int)
     owner = np.repeat(np.arange(n), size)
     for step in (0, 1):
         scheme = np.where(size > 0, bands - step, -1)
-        table_ = {int(k): (*join.segments(int(k)), join.lowest(int(k) + 1) - 1) for k in np.unique(scheme) if k >= 0}
-        zeros, ones, high = (np.array([table_[int(k)][x] if k >= 0 else 0 for k in scheme], np.int64) for x in range(3))
+        table_ = {int(k): (*join.segments(int(k)), join.lowest(int(k) + 1) - 1, join.spare(int(k))) for k in np.unique(scheme) if k >= 0}
+        zeros, ones, high, extra = (np.array([table_[int(k)][x] if k >= 0 else 0 for k in scheme], np.int64) for x in range(4))
         takes = (scheme >= 0) & ((step == 0) | (size * join.percent <= high * join.percent_of))
         m = np.where(takes, zeros + ones, 0)
         base = np.cumsum(m) - m
@@ -196,16 +215,31 @@ def signatures(s: np.ndarray, size: np.ndarray, join: Join) -> tuple[np.ndarray,
         weight = _mix(e)
         total = _sums(weight, seg, int(m.sum()))
         seg_owner = np.repeat(np.arange(n), m)
+        place = np.arange(len(total)) - base[seg_owner]
+        one = place >= zeros[seg_owner]  # the last segments allow one difference
+        units = np.where(np.bincount(seg, minlength=len(total)) == 0, 1 + one, 0)
+        left_out = np.cumsum(units)
+        left_out -= (left_out - units)[np.minimum(base, len(total) - 1)][seg_owner] if len(total) else 0
+        gone = (units > 0) & (left_out <= extra[seg_owner])
+        rest = np.where(takes, extra - np.bincount(seg_owner[gone], weights=units[gone], minlength=n).astype(np.int64), 0)
+        for parity in (0, 1):
+            spare[parity] += np.where(scheme % 2 == parity, rest, 0).astype(np.int32)
         with np.errstate(over="ignore"):
-            tag = _mix(scheme[seg_owner].astype(_U) * _U(0x9E3779B97F4A7C15) + (np.arange(len(total)) - base[seg_owner]).astype(_U))
-            found.append(_mix(total + tag))
-            owners.append(seg_owner)
-            drop = part >= zeros[o]  # the last segments allow one difference
-            found.append(_mix(total[seg[drop]] - weight[drop] + tag[seg[drop]]))
+            tag = _mix(scheme[seg_owner].astype(_U) * _U(0x9E3779B97F4A7C15) + place.astype(_U))
+            marks = (scheme[seg_owner] & 1).astype(_U) | (one.astype(_U) << _U(1))
+            found.append((_mix(total + tag) & ~_U(3) | marks)[~gone])
+            owners.append(seg_owner[~gone])
+            drop = one[seg]
+            found.append(_mix(total[seg[drop]] - weight[drop] + tag[seg[drop]]) & ~_U(3) | marks[seg[drop]])
             owners.append(o[drop])
     sig, own = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(own, kind="stable")
-    return sig[order], np.bincount(own, minlength=n)
+    return sig[order], np.bincount(own, minlength=n), spare
+
+
+def signatures(s: np.ndarray, size: np.ndarray, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """The signatures of each set, set by set in order, and how many each has."""
+    return allocated(s, size, join)[:2]
 
 
 def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
@@ -239,16 +273,18 @@ _MARKS = "".join(f", {m} long" for m in MARKS)
 
 
 def index(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n (size of the set), a, b (128-bit hash of the set), sigs (its signatures), s0 .. (its sketch) for every row."""
+    """doc_id, n (size of the set), a, b (128-bit hash of the set), sigs (its signatures), spare (what it may leave out in
+    schemes of even and of odd number), s0 .. (its sketch) for every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for x in _parts(whole):
                 s, size = shingle_sets(x.column(1), join.words)
                 a, b = set_hashes(s, size)
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(*signatures(s, size, join)), *map(pa.array, sketches(s, size))], names=["doc_id", "n", "a", "b", "sigs", *MARKS])
+                sig, count, spare = allocated(s, size, join)
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(sig, count), *map(pa.array, spare), *map(pa.array, sketches(s, size))], names=["doc_id", "n", "a", "b", "sigs", "spare0", "spare1", *MARKS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, sigs array<long>" + _MARKS)
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, sigs array<long>, spare0 int, spare1 int" + _MARKS)
 
 
 def sets(docs: DataFrame, join: Join) -> DataFrame:
@@ -279,13 +315,16 @@ def components(edges: DataFrame) -> DataFrame:
         steps.append(materialize(taken.join(then, "to").select("id", F.least("to", "x").alias("label")), "labels"))
         if not steps[-1].limit(1).count():
             break
-        live = materialize(_relabelled(live, steps[-1], "label"), "edges")
+        before, live = live, materialize(_relabelled(live, steps[-1], "label"), "edges")
+        free(before, taken)
         if not live.limit(1).count():
             break
     out = steps[0].select("id", F.col("label").alias("component"))
     for later in steps[1:]:
         out = out.join(later.select(F.col("id").alias("component"), "label"), "component", "left").select("id", F.coalesce("label", "component").alias("component"))
-    return materialize(out, "components")
+    out = materialize(out, "components")
+    free(live, *steps)
+    return out
 
 
 def _relabelled(edges: DataFrame, labels: DataFrame, label: str) -> DataFrame:
@@ -312,9 +351,17 @@ def _sets_of(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, join: Join) ->
     """a, id, n, shingles of the classes in pairs (a_x, a_y); no other sets are shuffled or written."""
     wanted = pairs.select(F.col("a_x").alias("a")).union(pairs.select("a_y")).distinct()
     wanted = materialize(nodes.select("a", "b", "id", "n").join(wanted, "a", "left_semi"), "wanted")
-    few = small(wanted, 1_000_000)
-    chosen = sets(docs, join).join(F.broadcast(wanted) if few else wanted, ["a", "b"]).filter("doc_id = id")  # 32 bytes a row, a million at most
-    return materialize(chosen.select("a", "id", "n", "shingles"), "sets")  # rows that repeat a doc_id repeat links, which become distinct
+    chosen = _chosen(docs, wanted, small(wanted, 1_000_000), join)  # 32 bytes a row, a million at most
+    found = materialize(chosen.select("a", "id", "n", "shingles"), "sets")  # rows that repeat a doc_id repeat links, which become distinct
+    free(wanted)
+    return found
+
+
+def _chosen(docs: DataFrame, wanted: DataFrame, few: bool, join: Join) -> DataFrame:
+    """The wanted classes (a, b, id and more) with their sets, each from the rows of its id; few: whether to broadcast wanted."""
+    if few:  # then other texts aren't even taken apart
+        docs = docs.select("doc_id", "text").join(F.broadcast(wanted.select(F.col("id").alias("doc_id"))), "doc_id", "left_semi")
+    return sets(docs, join).join(F.broadcast(wanted) if few else wanted, ["a", "b"]).filter("doc_id = id")
 
 
 def _linked(pairs: DataFrame, found: DataFrame, join: Join) -> DataFrame:
@@ -335,21 +382,44 @@ def _same_document(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.join(own.groupBy("doc_id").agg(F.min("id").alias("u")), "doc_id").select("u", F.col("id").alias("v")).filter("u <> v").distinct()
 
 
+def _members(rows: DataFrame) -> DataFrame:
+    """key, a, lead (the smallest a) for the signatures that two classes or more have and don't leave out."""
+    keys = rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", "b", "spare0", "spare1", F.explode("sigs").alias("key"))
+    shared = keys.groupBy("key").agg(F.count("*").alias("length"), F.min("a").alias("first"), F.max("a").alias("last"))
+    shared = materialize(shared.filter("first < last").select("key", "length"), "shared")
+    listed = keys.join(F.broadcast(shared) if small(shared, 1_500_000) else shared, "key").distinct()  # 16 bytes a row; then signatures aren't shuffled again
+    # a set's own: longest list first
+    own = Window.partitionBy("a", "b", F.col("key").bitwiseAND(1)).orderBy(F.desc("length"), "key")
+    worth = F.when(F.col("key").bitwiseAND(2) == 0, 1).otherwise(2)
+    kept = listed.withColumn("so_far", F.sum(worth).over(own)).filter(F.col("so_far") > F.when(F.col("key").bitwiseAND(1) == 0, F.col("spare0")).otherwise(F.col("spare1")))
+    kept = materialize(kept.select("key", "a").distinct(), "kept")
+    free(shared)
+    leads = kept.groupBy("key").agg(F.min("a").alias("lead"), F.max("a").alias("last")).filter("lead < last").select("key", "lead")
+    members = materialize(kept.join(leads, "key"), "members")
+    free(kept)
+    return members
+
+
+def _one_each(pairs: DataFrame) -> DataFrame:
+    """A pair for each two components."""
+    one = pairs.groupBy(F.least("cx", "cy").alias("c"), F.greatest("cx", "cy").alias("d")).agg(F.min(F.struct("a_x", "a_y")).alias("p"))
+    return materialize(one.select("p.a_x", "p.a_y"), "one-each")
+
+
 def _labelled(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """The index of all rows; n, a, b, id, component of all classes (id: the smallest doc_id, null if there is none)."""
     rows = materialize(index(docs, join), "index")
     classes = materialize(rows.filter("n > 0").groupBy("n", "a", "b", *MARKS).agg(F.min("doc_id").alias("id")), "classes")
-    keys = rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", F.explode("sigs").alias("key"))
-    shared = materialize(keys.groupBy("key").agg(F.min("a").alias("lead"), F.max("a").alias("last")).filter("lead < last").select("key", "lead"), "shared")
-    shared = F.broadcast(shared) if small(shared, 1_500_000) else shared  # 16 bytes a row; then signatures aren't shuffled again
-    members = materialize(keys.join(shared, "key").distinct(), "members")  # key, a, lead
+    members = _members(rows)
     nodes = classes.filter("id IS NOT NULL")
     # one leader for each class first: of those that sizes and sketches allow the one that it shares most signatures with
     first = members.filter("a <> lead").groupBy("a", "lead").count().select(F.col("lead").alias("a_x"), F.col("a").alias("a_y"), "count")
     first = first.join(_side(nodes, "y", "n", *MARKS), "a_y").join(_side(nodes, "x", "n", *MARKS), "a_x").filter(_may_link(join))
     first = materialize(first.groupBy("a_y").agg(F.max_by("a_x", F.struct("count", "a_x")).alias("a_x")), "first")
-    edges = _linked(first, _sets_of(docs, first, nodes, join), join)
+    found = _sets_of(docs, first, nodes, join)
+    edges = _linked(first, found, join)
     label = components(edges.union(_same_document(rows, nodes)))
+    free(found, edges)
     known = nodes.join(label, "id", "left").select("a", "n", F.coalesce("component", "id").alias("component"), *MARKS)
     placed = members.select("key", "a").join(known.select("a", "component"), "a")
     apart = placed.groupBy("key").agg(F.min("component").alias("s"), F.max("component").alias("t")).filter("s < t").select("key")
@@ -360,14 +430,15 @@ def _labelled(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     pairs = pairs.select(F.least("a_x", "a_y").alias("a_x"), F.greatest("a_x", "a_y").alias("a_y"), F.when(turned, F.col("component_y")).otherwise(F.col("component_x")).alias("cx"), F.when(turned, F.col("component_x")).otherwise(F.col("component_y")).alias("cy")).distinct()
     tried = first.select(F.least("a_x", "a_y").alias("a_x"), F.greatest("a_x", "a_y").alias("a_y"))
     pairs = materialize(pairs.join(tried, ["a_x", "a_y"], "left_anti"), "pairs")
-    found = _sets_of(docs, pairs, nodes, join) if pairs.limit(1).count() else None
-    take = 1
-    while found is not None:
-        # of each two components `take` pairs; what links joins them, and their other pairs need no look
-        own = Window.partitionBy(F.least("cx", "cy"), F.greatest("cx", "cy")).orderBy("a_x", "a_y")
-        ranked = materialize(pairs.withColumn("nth", F.row_number().over(own)), "pairs")
-        more = _linked(ranked.filter(F.col("nth") <= take), found, join)
-        pairs = ranked.filter(F.col("nth") > take).drop("nth")
+    free(members, first)
+    for turn in range(3):
+        if not pairs.limit(1).count():
+            break
+        # what links joins two components, and their other pairs need no look
+        asked = pairs.select("a_x", "a_y") if turn == 2 else _one_each(pairs)
+        found = _sets_of(docs, asked, nodes, join)
+        more = _linked(asked, found, join)
+        free(found)
         if more.limit(1).count():
             # links between components, then what they make of each component
             last = components(_relabelled(more, label, "component")).select("id", F.col("component").alias("to"))
@@ -375,12 +446,15 @@ def _labelled(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
             alone = more.select("u").union(more.select("v")).distinct().join(label.select(F.col("id").alias("u")), "u", "left_anti")
             label = label.select("id", "component").union(alone.select("u", F.col("u").alias("component"))).join(to("component"), "component", "left")
             label = materialize(label.select("id", F.coalesce("to_component", "component").alias("component")), "labels")
-            pairs = pairs.join(to("cx"), "cx", "left").join(to("cy"), "cy", "left")
-            pairs = pairs.select("a_x", "a_y", F.coalesce("to_cx", "cx").alias("cx"), F.coalesce("to_cy", "cy").alias("cy")).filter("cx <> cy")
-        pairs = materialize(pairs, "pairs")
-        take *= 8
-        if not pairs.limit(1).count():
-            break
+            if turn < 2:
+                moved = pairs.join(to("cx"), "cx", "left").join(to("cy"), "cy", "left")
+                moved = moved.select("a_x", "a_y", F.coalesce("to_cx", "cx").alias("cx"), F.coalesce("to_cy", "cy").alias("cy")).filter("cx <> cy")
+                moved = materialize(moved.join(asked, ["a_x", "a_y"], "left_anti"), "pairs")
+        elif turn < 2:
+            moved = materialize(pairs.join(asked, ["a_x", "a_y"], "left_anti"), "pairs")
+        if turn < 2:
+            free(pairs, asked)
+            pairs = moved
     return rows, classes.join(label, "id", "left").select("n", "a", "b", "id", F.coalesce("component", "id").alias("component"))
 
 
@@ -480,7 +554,7 @@ def join_links(docs: DataFrame, join: Join) -> DataFrame:
     bin_ = F.when(F.col("blocks") > 1, F.col("component"))  # a large component's own group; the others' in bin
     wanted = named.join(sizes, "component").select("a", "b", "id", "component", "copies", "blocks", bin_.alias("own"), F.when(bin_.isNull(), F.pmod(F.xxhash64("component"), F.lit(bins))).alias("bin"), F.pmod(F.xxhash64("a"), F.col("blocks")).alias("block"))
     wanted = materialize(wanted, "wanted")
-    chosen = sets(docs, join).join(F.broadcast(wanted) if small(wanted, 500_000) else wanted, ["a", "b"]).filter("doc_id = id")  # 72 bytes a row
+    chosen = _chosen(docs, wanted, small(wanted, 500_000), join)  # 72 bytes a row
     met = chosen.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     met = met.select("own", "bin", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "a", "component", "copies", "shingles")
     near = met.groupBy("own", "bin", "i", "j").applyInArrow(lambda t: _near(t, join), "a long, near long").groupBy("a").agg(F.sum("near").alias("near"))
