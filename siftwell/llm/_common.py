@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -53,6 +54,12 @@ def free(*tables: DataFrame) -> None:
             _delete(*_written.pop(id(df))[:2])
 
 
+def release(spark: SparkSession) -> None:
+    """Shuffle files of queries that have ended go when the driver collects its garbage: now, rather than some time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 @atexit.register
 def _clean() -> None:
     for spark, path, _ in _written.values():

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import free, fresh, materialize, small, table
+from siftwell.llm._common import free, fresh, materialize, release, small, table
 
 _U = np.uint64
 
@@ -61,7 +61,7 @@ class Join:
     common: float = 0.5
     pair_cost: float = 0.2
     #: Segments to be left out, as a share of those that are needed.
-    spare_share: float = 0.15
+    spare_share: float = 0.1
 
     def links(self, both: int, a: int, b: int) -> bool:
         return self.percent_of * both >= self.percent * (a + b - both)
@@ -246,10 +246,10 @@ def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _parts(b: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Slices of some MB of text."""
+def _parts(b: pa.RecordBatch, most: int = 1 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Slices of about a MB of text and so many rows at most: what a worker needs for them is some hundred bytes a byte."""
     length = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
-    edge = np.flatnonzero(np.diff(np.cumsum(length) // most)) + 1
+    edge = np.flatnonzero(np.diff(np.cumsum(length) // most) | np.diff(np.arange(len(length)) // rows)) + 1
     for a, z in zip([0, *edge], [*edge, b.num_rows], strict=True):
         if z > a:
             yield b.slice(a, z - a)
@@ -382,18 +382,46 @@ def _same_document(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.join(own.groupBy("doc_id").agg(F.min("id").alias("u")), "doc_id").select("u", F.col("id").alias("v")).filter("u <> v").distinct()
 
 
+#: Bits of the bitmap of shared signatures: 16 for each, as long as it has no more than MOST_BITS (32 MB).
+MOST_BITS = 1 << 28
+
+
+def _sifted(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """The keys of rows without most of those that aren't shared: a bitmap of bounded size lets some of them through."""
+    bits = min(MOST_BITS, 1 << max(10, (16 * shared.count()).bit_length()))
+    at = F.shiftright("key", 2).bitwiseAND(bits - 1)
+    words = shared.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST((shiftright(key, 2) & {bits - 1}) & 63 AS INT))")).alias("set")).toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words["word"].to_numpy()] = words["set"].to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = sent.value.view(_U)
+        for b in batches:
+            lists = b.column(4)
+            key, count = lists.flatten().to_numpy(), pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            place = (key.view(_U) >> _U(2)) & _U(bits - 1)
+            hit = np.flatnonzero((bitmap[(place >> _U(6)).astype(np.int64)] >> (place & _U(63))) & _U(1))
+            row = np.repeat(np.arange(b.num_rows), count)[hit]
+            yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(row)) for k in range(4)), pa.array(key[hit])], names=["a", "b", "spare0", "spare1", "key"])
+
+    return rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", "b", "spare0", "spare1", "sigs").mapInArrow(run, "a long, b long, spare0 int, spare1 int, key long")
+
+
 def _members(rows: DataFrame) -> DataFrame:
     """key, a, lead (the smallest a) for the signatures that two classes or more have and don't leave out."""
     keys = rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", "b", "spare0", "spare1", F.explode("sigs").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("length"), F.min("a").alias("first"), F.max("a").alias("last"))
     shared = materialize(shared.filter("first < last").select("key", "length"), "shared")
-    listed = keys.join(F.broadcast(shared) if small(shared, 1_500_000) else shared, "key").distinct()  # 16 bytes a row; then signatures aren't shuffled again
+    release(rows.sparkSession)
+    listed = _sifted(rows, shared).join(shared, "key").distinct()
     # a set's own: longest list first
     own = Window.partitionBy("a", "b", F.col("key").bitwiseAND(1)).orderBy(F.desc("length"), "key")
     worth = F.when(F.col("key").bitwiseAND(2) == 0, 1).otherwise(2)
     kept = listed.withColumn("so_far", F.sum(worth).over(own)).filter(F.col("so_far") > F.when(F.col("key").bitwiseAND(1) == 0, F.col("spare0")).otherwise(F.col("spare1")))
     kept = materialize(kept.select("key", "a").distinct(), "kept")
     free(shared)
+    release(rows.sparkSession)
     leads = kept.groupBy("key").agg(F.min("a").alias("lead"), F.max("a").alias("last")).filter("lead < last").select("key", "lead")
     members = materialize(kept.join(leads, "key"), "members")
     free(kept)
@@ -418,6 +446,7 @@ def _labelled(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     first = materialize(first.groupBy("a_y").agg(F.max_by("a_x", F.struct("count", "a_x")).alias("a_x")), "first")
     found = _sets_of(docs, first, nodes, join)
     edges = _linked(first, found, join)
+    release(docs.sparkSession)
     label = components(edges.union(_same_document(rows, nodes)))
     free(found, edges)
     known = nodes.join(label, "id", "left").select("a", "n", F.coalesce("component", "id").alias("component"), *MARKS)

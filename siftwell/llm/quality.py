@@ -75,13 +75,15 @@ def judge_hosts(failures: DataFrame) -> DataFrame:
     return hosts.withColumn("rate", rate).withColumn("rejected", F.col("rate") > MOST_FAILED)
 
 
-def with_host(rows: DataFrame, hosts: DataFrame, host: str, salt_by: Column, salts: int = 64) -> DataFrame:
-    """rows with the verdict on their host in `rejected`; many hosts: a join whose hot keys are dealt over `salts`."""
-    verdict = hosts.select(F.col("host").alias(host), F.col("rejected").alias("__rejected"))
+def with_host(rows: DataFrame, hosts: DataFrame, host: str, into: str, salts: int = 64) -> DataFrame:
+    """rows with the verdict on their host in `into`; many hosts: a join whose hot keys are dealt over `salts` at random."""
+    verdict = hosts.select(F.col("host").alias(host), F.col("rejected").alias(into))
     if small(verdict):
         return rows.join(F.broadcast(verdict), host)
-    dealt = verdict.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(salts)).cast("int")).join(dealt, [host, "__salt"]).drop("__salt")
+    salt = fresh(rows, "__salt")
+    dealt = verdict.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    # the draws follow from a seed and a row's place in its file: a task that runs again draws the same
+    return rows.withColumn(salt, F.floor(F.rand() * salts).cast("int")).join(dealt, [host, salt]).drop(salt)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -89,17 +91,24 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", "text", null_safe(F.col("source")).alias("host"))
     rows = materialize(measure(rows, "m").select("doc_id", "host", "m.*"), "quality")
     hosts = judge_hosts(rows.select("host", "failed"))
-    out = with_host(rows, hosts, "host", F.col("doc_id"))
-    return out.select("doc_id", *MEASURES, "base_failed", "failed", (~F.col("base_failed") & ~(F.col("__rejected") & F.col("failed"))).alias("kept"))
+    out = with_host(rows, hosts, "host", "rejected")
+    return out.select("doc_id", *MEASURES, "base_failed", "failed", (~F.col("base_failed") & ~(F.col("rejected") & F.col("failed"))).alias("kept"))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, with their columns; the text isn't shuffled where hosts are few."""
-    m, host = fresh(docs, "__quality"), fresh(docs, "__host")
+    """The rows of docs that judge() keeps, with their columns: measured once, written, then joined with their hosts' verdicts.
+
+    What fails the base rule is written without its text, as it only counts for its host.
+    """
+    m, host, rejected = (fresh(docs, f"__{x}") for x in ("quality", "host", "rejected"))
     measured = measure(docs.withColumn(host, null_safe(F.col("source"))), m)
-    hosts = judge_hosts(measured.select(F.col(host).alias("host"), F.col(m)["failed"].alias("failed")))
-    out = with_host(measured.filter(~F.col(m)["base_failed"]), hosts, host, F.col("doc_id"))
-    return out.filter(~(F.col("__rejected") & F.col(m)["failed"])).select(*docs.columns)
+    base, failed = F.col(m)["base_failed"], F.col(m)["failed"]
+    row = F.when(~base, F.struct(*docs.columns))
+    rows = materialize(measured.select(F.col(host), base.alias(m), failed.alias(rejected), row.alias("row")), "quality")
+    hosts = judge_hosts(rows.select(F.col(host).alias("host"), F.col(rejected).alias("failed")))
+    good = rows.filter(~F.col(m)).select(host, F.col(rejected).alias("failed"), "row")
+    out = with_host(good, hosts, host, "rejected").filter(~(F.col("rejected") & F.col("failed")))
+    return out.select("row.*")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
