@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 #: By id of the table; the tables themselves, so that no id comes twice.
 _written: dict[int, tuple[SparkSession, str, DataFrame]] = {}
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Rows of a lookup side that may be broadcast; above it the operators take a shuffled join.
 BROADCAST_ROWS = 200_000
 
@@ -36,7 +39,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    kept = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")  # the write's shuffle files go when it has ended, not some time later
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, kept)
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = (spark, path, out)
     return out
@@ -54,10 +62,22 @@ def free(*tables: DataFrame) -> None:
             _delete(*_written.pop(id(df))[:2])
 
 
-def release(spark: SparkSession) -> None:
-    """Shuffle files of queries that have ended go when the driver collects its garbage: now, rather than some time."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+@contextmanager
+def written() -> Iterator[list[DataFrame]]:
+    """The list of the tables that materialize() writes meanwhile and that aren't free()d again; filled at the end."""
+    before, out = set(_written), []
+    yield out
+    out += [df for k, (_, _, df) in _written.items() if k not in before]
+
+
+def free_unread(tables: list[DataFrame], docs: DataFrame) -> None:
+    """Deletes those of tables that docs doesn't read, and takes them from the list."""
+    files = docs.inputFiles() if tables else []
+    for df in [*tables]:
+        name = _written[id(df)][1].rpartition("/")[2] if id(df) in _written else None
+        if not any(f"/{name}/" in f for f in files):
+            free(df)
+            tables.remove(df)
 
 
 @atexit.register

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import free, fresh, materialize, release, small, table
+from siftwell.llm._common import free, fresh, materialize, small, table, written
 
 _U = np.uint64
 
@@ -413,7 +413,6 @@ def _members(rows: DataFrame) -> DataFrame:
     keys = rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", "b", "spare0", "spare1", F.explode("sigs").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("length"), F.min("a").alias("first"), F.max("a").alias("last"))
     shared = materialize(shared.filter("first < last").select("key", "length"), "shared")
-    release(rows.sparkSession)
     listed = _sifted(rows, shared).join(shared, "key").distinct()
     # a set's own: longest list first
     own = Window.partitionBy("a", "b", F.col("key").bitwiseAND(1)).orderBy(F.desc("length"), "key")
@@ -421,7 +420,6 @@ def _members(rows: DataFrame) -> DataFrame:
     kept = listed.withColumn("so_far", F.sum(worth).over(own)).filter(F.col("so_far") > F.when(F.col("key").bitwiseAND(1) == 0, F.col("spare0")).otherwise(F.col("spare1")))
     kept = materialize(kept.select("key", "a").distinct(), "kept")
     free(shared)
-    release(rows.sparkSession)
     leads = kept.groupBy("key").agg(F.min("a").alias("lead"), F.max("a").alias("last")).filter("lead < last").select("key", "lead")
     members = materialize(kept.join(leads, "key"), "members")
     free(kept)
@@ -446,7 +444,6 @@ def _labelled(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     first = materialize(first.groupBy("a_y").agg(F.max_by("a_x", F.struct("count", "a_x")).alias("a_x")), "first")
     found = _sets_of(docs, first, nodes, join)
     edges = _linked(first, found, join)
-    release(docs.sparkSession)
     label = components(edges.union(_same_document(rows, nodes)))
     free(found, edges)
     known = nodes.join(label, "id", "left").select("a", "n", F.coalesce("component", "id").alias("component"), *MARKS)
@@ -599,7 +596,9 @@ def keep_one(docs: DataFrame, join: Join) -> DataFrame:
 
     Rows without a doc_id stay, as do texts without words. All columns stay.
     """
-    found = materialize(join_components(docs, join), "components")
+    with written() as made:
+        found = materialize(join_components(docs, join), "components")
+    free(*[x for x in made if x is not found])
     gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
     again = found.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
     gone = F.broadcast(gone) if small(gone) else gone
