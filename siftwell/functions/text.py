@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
@@ -45,6 +45,7 @@ class Token:
 
 
 _BOUNDARY = regex.compile(r"(?w)\b")
+_SIMPLE = regex.compile(r"[\p{L}\p{N}]+")
 
 
 def tokenize(text: str) -> list[Token]:
@@ -55,7 +56,7 @@ def tokenize(text: str) -> list[Token]:
 
 def tokenize_simple(text: str) -> list[Token]:
     """Runs of letters and digits: the fast tokenizer, which SQL can follow as `[\\p{L}\\p{N}]+`."""
-    return [Token(m[0], *m.span()) for m in regex.finditer(r"[\p{L}\p{N}]+", text)]
+    return [Token(m[0], *m.span()) for m in _SIMPLE.finditer(text)]
 
 
 def fold(tokens: Iterable[Token]) -> list[Token]:
@@ -180,6 +181,20 @@ class Analyzer:
         table = both_ways(table) if bidirectional else table
         return replace(self, synonym_pairs=tuple((k, tuple(v)) for k, v in table.items()))
 
+    @property
+    def plain(self) -> bool:
+        """Whether tokens are the words as they stand, but for their case: each a step of one."""
+        return self.tokenizer == "simple" and not (self.folds or self.stops or self.stemmer or self.synonym_pairs)
+
+    def words(self, text: str) -> Iterator[tuple[str, int, int, int]]:
+        """term, step, start, end of each token."""
+        if self.plain:
+            for m in _SIMPLE.finditer(text):
+                yield m[0].lower() if self.lowers else m[0], 1, m.start(), m.end()
+        else:
+            for t in self.analyze(text):
+                yield t.term, t.pos_inc, t.start, t.end
+
     def analyze(self, text: str) -> list[Token]:
         if self.tokenizer == "keyword":
             return [Token(text, 0, len(text))]

@@ -165,7 +165,8 @@ class Compiler:
         there = reduce(Column.__and__, [a.isNotNull() for a in at])
         empty = F.array().cast("array<int>")
         if c.slop == 0:
-            starts = F.filter(at[0]["p"], lambda p: reduce(Column.__and__, [F.array_contains(a["p"], p + k) for k, a in enumerate(at[1:], 1)]))
+            # sets of first positions meet: linear in the positions
+            starts = reduce(F.array_intersect, [at[0]["p"], *(F.transform(a["p"], _less(k)) for k, a in enumerate(at[1:], 1))])
             freq = F.when(there, F.size(starts)).otherwise(0)
         else:
             rest = F.array(*[F.coalesce(a["p"], empty) for a in at[1:]])
@@ -196,8 +197,9 @@ class Compiler:
         if isinstance(c, SpanOr):
             return F.sort_array(F.array_distinct(F.concat(*parts)))
         combos = F.transform(parts[0], lambda x: F.array(x))
+        reach = c.slop + sum(map(_width, c.clauses))
         for part in parts[1:]:
-            combos = F.flatten(F.transform(combos, _with_each(part)))
+            combos = F.flatten(F.transform(combos, _with_each(part, reach)))
         if not c.in_order:
             combos = F.transform(combos, lambda x: F.sort_array(x))
 
@@ -248,9 +250,29 @@ class Compiler:
         return rows.filter(match).select("doc_id", score.cast("double").alias("score"))
 
 
-def _with_each(part: Column):
-    """A function that appends each span of part to a list of spans."""
-    return lambda have: F.transform(part, lambda y: F.concat(have, F.array(y)))
+def _less(k: int):
+    return lambda p: p - k
+
+
+def _width(c: Clause) -> int:
+    """The most positions that a span of the clause takes up."""
+    if isinstance(c, SpanTerm):
+        return 1
+    widths = [_width(x) for x in c.clauses]
+    return max(widths, default=0) if isinstance(c, SpanOr) else sum(widths) + c.slop
+
+
+def _with_each(part: Column, reach: int):
+    """A function that appends each span of part to a list of spans, if it starts within reach of the list's first.
+
+    Spans of one match lie one after the other with `slop` positions between them in all: none starts farther off.
+    """
+
+    def appended(have: Column) -> Column:
+        near = F.filter(part, lambda y: F.abs(y["s"] - have[0]["s"]) <= reach)
+        return F.transform(near, lambda y: F.concat(have, F.array(y)))
+
+    return appended
 
 
 def _between(low, high):

@@ -97,9 +97,13 @@ _hits("q04_wildcard", Wildcard("body", "t?e*ing"), _docs("regexp_full_match(term
 _hits("q05_fuzzy_transpositions", Fuzzy("body", "teh", 1, 1), "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM p WHERE term IN (SELECT term FROM df WHERE damerau_levenshtein(regexp_replace(term, '[^ -~]', '~', 'g'), 'teh') <= 1 AND starts_with(term, 't') ORDER BY term LIMIT 50)")
 _hits("q05_fuzzy_edits", Fuzzy("body", "worthles", 2, transpositions=False), "SELECT DISTINCT doc_id, 1.0::DOUBLE AS score FROM p WHERE term IN (SELECT term FROM df WHERE levenshtein(regexp_replace(term, '[^ -~]', '~', 'g'), 'worthles') <= 2 ORDER BY term LIMIT 50)")
 _hits("q06_regexp", Regexp("body", "(an|the)+[a-f]{1,3}"), _docs("regexp_full_match(term, '(?:an|the)+[a-f]{1,3}')"))
-PHRASE = "x AS (SELECT a.doc_id, a.idf + b.idf AS idf, len(list_filter(a.ps, lambda q: list_contains(b.ps, q + 1))) AS f, a.dl, a.mean FROM sc AS a JOIN sc AS b USING (doc_id) WHERE a.term = 'of' AND b.term = 'the')"
+#: h: positions of 'of' and 'the' alone; i: their idf together.
+OF_THE = """h AS MATERIALIZED (SELECT doc_id, term, pos FROM tok WHERE term IN ('of', 'the')),
+i AS (SELECT sum(ln(1 + (dc - df + 0.5) / (df + 0.5))) AS idf FROM (SELECT term, count(DISTINCT doc_id) AS df FROM h GROUP BY term) CROSS JOIN st),
+m AS MATERIALIZED (SELECT a.doc_id, a.pos AS a, b.pos AS b FROM h AS a JOIN h AS b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos + 1 AND a.pos + 3 WHERE a.term = 'of' AND b.term = 'the')"""
+PHRASE = f"{OF_THE}, x AS (SELECT doc_id, idf, f, dl, mean FROM (SELECT doc_id, count(*) AS f FROM m WHERE b = a + 1 GROUP BY doc_id) JOIN n USING (doc_id) CROSS JOIN st CROSS JOIN i)"
 _hits("q07_phrase", Phrase("body", ("of", "the")), f", {PHRASE} SELECT doc_id, round(idf * f / (f + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS score FROM x WHERE f > 0")
-_hits("q08_sloppy_phrase", Phrase("body", ("of", "the"), 2), ", x AS (SELECT a.doc_id, a.idf + b.idf AS idf, a.dl, a.mean FROM sc AS a JOIN sc AS b USING (doc_id) WHERE a.term = 'of' AND b.term = 'the' AND len(list_filter(a.ps, lambda q: list_contains(b.ps, q + 1) OR list_contains(b.ps, q + 2) OR list_contains(b.ps, q + 3))) > 0) SELECT doc_id, round(idf / (1 + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS score FROM x")
+_hits("q08_sloppy_phrase", Phrase("body", ("of", "the"), 2), f", {OF_THE}, x AS (SELECT doc_id, idf, dl, mean FROM (SELECT DISTINCT doc_id FROM m) JOIN n USING (doc_id) CROSS JOIN st CROSS JOIN i) SELECT doc_id, round(idf / (1 + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS score FROM x")
 _hits("q09_span_term", SpanTerm("body", "the"), _docs("term = 'the'"))
 _hits("q10_span_near", SpanNear((SpanTerm("body", "the"), SpanTerm("body", "of")), 1, False), "SELECT DISTINCT a.doc_id, 1.0::DOUBLE AS score FROM tok AS a JOIN tok AS b USING (doc_id) WHERE a.term = 'the' AND b.term = 'of' AND abs(a.pos - b.pos) BETWEEN 1 AND 2")
 _hits("q11_span_or", SpanNear((SpanOr((SpanTerm("body", "the"), SpanTerm("body", "with"))), SpanTerm("body", "of"))), "SELECT DISTINCT a.doc_id, 1.0::DOUBLE AS score FROM tok AS a JOIN tok AS b USING (doc_id) WHERE a.term IN ('the', 'with') AND b.term = 'of' AND b.pos = a.pos + 1")

@@ -136,13 +136,13 @@ def invert(docs: DataFrame, schema: IndexSchema) -> DataFrame:
                         for text in texts:
                             if text is None:
                                 continue
-                            for t in f.analyzer.analyze(str(text)):
-                                position += t.pos_inc
+                            for term, step, start, end in f.analyzer.words(str(text)):
+                                position += step
                                 n += 1
-                                p, s, e = found.setdefault(t.term, ([], [], []))
+                                p, s, e = found.get(term) or found.setdefault(term, ([], [], []))
                                 p.append(position)
-                                s.append(before + t.start)
-                                e.append(before + t.end)
+                                s.append(before + start)
+                                e.append(before + end)
                             before += len(str(text)) + 1
                         for term, (p, s, e) in found.items():
                             row = (f.name, term, doc, len(p), n if f.norms else 1, p if f.positions else None, s if f.offsets else None, e if f.offsets else None)
@@ -212,9 +212,12 @@ class Snapshot:
         for column in sorted({c for _, c, _ in self.commit.updates}):
             parts = [self.spark.read.parquet(f"{self.index.path}/updates/{p}").select("doc_id", F.col("value"), F.lit(g).alias("g")) for g, c, p in self.commit.updates if c == column]
             # max_by keeps a null that an update wrote only if it is the newest: the struct is never null
-            newest = reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.max_by(F.struct("value"), "g").alias("new"))
+            new = "new"
+            while new in {c.lower() for c in docs.columns}:
+                new += "_"
+            newest = reduce(DataFrame.union, parts).groupBy("doc_id").agg(F.max_by(F.struct("value"), "g").alias(new))
             old = F.col(column) if column in docs.columns else F.lit(None)
-            docs = docs.join(newest, "doc_id", "left").withColumn(column, F.when(F.col("new").isNotNull(), F.col("new")["value"]).otherwise(old)).drop("new")
+            docs = docs.join(newest, "doc_id", "left").withColumn(column, F.when(F.col(new).isNotNull(), F.col(new)["value"]).otherwise(old)).drop(new)
         return docs
 
     @cached_property
@@ -345,6 +348,8 @@ class Index:
 
     def _write(self, name: str, docs: DataFrame, postings: DataFrame | None = None, sort: Sequence[SortKey] = ()) -> Segment:
         base = f"{self.path}/segments/{name}"
+        if not sort and docs.rdd.getNumPartitions() < (cores := self.spark.sparkContext.defaultParallelism):
+            docs = docs.repartition(2 * cores)  # else few tasks would invert a table of few files or row groups
         (docs.orderBy(*[k.order() for k in sort], "doc_id") if sort else docs).write.parquet(f"{base}/documents")
         docs = self.spark.read.parquet(f"{base}/documents")
         postings = invert(docs, self.schema) if postings is None else postings
