@@ -14,6 +14,7 @@ import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -83,10 +84,19 @@ def scan(text: str, ac: ahocorasick.Automaton) -> list[Span]:
     """The spans (kind, start, end in code points) by start, then kind as listed."""
     raw = text.encode()
     plain = len(raw) == len(text)
-    place = (lambda b: b) if plain else (lambda b: len(raw[:b].decode()))
     out, done = [], dict.fromkeys(KINDS, 0)
     hits = [(end + 1 - n, kind) for end, (kind, n) in ac.iter(raw.lower().decode("latin-1"))]
     hits.sort()
+    counted: list[np.ndarray] = []
+
+    def place(b: int) -> int:
+        """The code point that begins at byte b; counted once for the whole text."""
+        if plain or not b:
+            return b
+        if not counted:
+            counted.append(np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, dtype=np.int64))
+        return int(counted[0][b - 1])
+
     for b, kind in hits:
         at = place(b)
         if at >= done[kind]:
