@@ -10,6 +10,7 @@ blocks' best are merged by query.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,7 @@ def best_of_block(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray
     ids: for each vector its smallest ids, k + 1 at most (one may be the query's own).
     """
     n = len(vectors)
+    times = Counter(int(i) for x in ids for i in np.unique(x))  # vectors of one id
     if queries.dtype == object or vectors.dtype == object:
         exact = np.dot(queries.astype(object), vectors.astype(object).T)
         order_of = lambda q: ((int(exact[q, j]), j) for j in sorted(range(n), key=lambda j: -exact[q, j]))
@@ -74,8 +76,9 @@ def best_of_block(queries: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray
                 take(j, score)
         else:
             u = upper[q]
-            # the (k + 1)-th lower bound can't be missed by the k-th exact score, the query's own vector aside
-            sure = np.partition(lower[q], n - k - 1)[n - k - 1] if n > k else -np.inf
+            # the k-th exact score, the vectors of the query's own id aside, is at least the lower bound so many places on
+            most = k + times[int(own[q])]
+            sure = np.partition(lower[q], n - most)[n - most] if n >= most else -np.inf
             open_ = np.flatnonzero(u >= sure)
             open_ = open_[np.argsort(-u[open_], kind="stable")]
             for s in range(0, len(open_), 64):
@@ -141,7 +144,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, rows: int = 4096, query_rows
 
     Vectors that are null or hold null or non-finite components take no part, nor do rows without a vec_id; vectors meet
     only those of their own length. Rows with the query's vec_id are not its candidates; a vec_id that several rows
-    repeat is a candidate once for each. Scores beyond 64 bits are ranked exactly and shown as the nearest 64-bit value.
+    repeat is a candidate once for each, and as a query the best of all its vectors' candidates are ranked together. Scores beyond 64 bits are ranked exactly and shown as the nearest 64-bit value.
     Fewer than k candidates: all of them; none, or an empty table: no rows. Other columns are not read.
     """
     v = F.col("values")
