@@ -1,9 +1,9 @@
 """Format-preserving Feistel pseudonyms for personal numbers, dates and addresses, in DataFrame functions only.
 
-Card numbers (checked by Luhn's sum), IPv4 addresses, telephone numbers, dates (checked against the calendar) and e-mail
+Card numbers (checked by Luhn's sum), international account numbers (checked modulo 97), IPv4 addresses, telephone numbers, dates (checked against the calendar) and e-mail
 addresses are found in whole texts. Each is permuted within its own format by a keyed Feistel network, so equal values
 get equal pseudonyms in every document, different values different ones, and a pseudonym is valid where the value was:
-cards pass Luhn's sum, dates exist, octets fit. What fails its check stays as it is. Round functions are SHA-256 of key,
+cards pass Luhn's sum, accounts (IBAN) have their check digits, dates exist, octets fit. What fails its check stays as it is. Round functions are SHA-256 of key,
 round and the other half.
 
 Telephone numbers: +code with 7 to 15 digits, whether or not single spaces, dots or hyphens part them; an area code in
@@ -40,8 +40,12 @@ _PHONE = "|".join(
     )
 )
 _CARDS = r"\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5}"
+# Countries with account numbers of the international form.
+_COUNTRIES = "AD|AE|AL|AT|AZ|BA|BE|BG|BH|BR|BY|CH|CR|CY|CZ|DE|DK|DO|EE|EG|ES|FI|FO|FR|GB|GE|GI|GL|GR|GT|HR|HU|IE|IL|IQ|IS|IT|JO|KW|KZ|LB|LC|LI|LT|LU|LV|LY|MC|MD|ME|MK|MR|MT|MU|NL|NO|PK|PL|PS|PT|QA|RO|RS|SA|SC|SE|SI|SK|SM|ST|SV|TL|TN|TR|UA|VA|VG|XK"
+_ACCOUNTS = rf"(?:{_COUNTRIES})\d\d(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+_ACCOUNT = rf"(?<![0-9A-Za-z]){_ACCOUNTS}(?![0-9A-Za-z])"
 _CARD = rf"(?<![0-9A-Za-z])(?:{_CARDS})(?![0-9A-Za-z])"
-PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _IP, _ISO, _DOTTED, _SLASHED, _CARD, _PHONE))
+PATTERN = "|".join(f"(?:{p})" for p in (_EMAIL, _IP, _ISO, _DOTTED, _SLASHED, _ACCOUNT, _CARD, _PHONE))
 #: Days of a Gregorian cycle of 400 years, 189 x 773, from this date on.
 CYCLE, RADIX_A, RADIX_B, FIRST_DAY = 146_097, 189, 773, "1700-01-01"
 
@@ -160,6 +164,26 @@ def _card(m: Column, key: str) -> Column:
     return F.when(luhn_sum(digits) % 10 == 0, F.aggregate(F.array(new), F.lit(""), lambda _, z: _refilled(m, z))).otherwise(m)
 
 
+def mod_97(s: Column) -> Column:
+    """A text of digits and capital letters (10 to 35) as a number, modulo 97."""
+
+    def one(rest: Column, p: Column) -> Column:
+        c = F.substr(s, p, F.lit(1))
+        return F.when(c.between("0", "9"), F.pmod(rest * 10 + F.ascii(c) - 48, F.lit(97))).otherwise(F.pmod(rest * 100 + F.ascii(c) - 55, F.lit(97)))
+
+    return F.aggregate(_chars(s), F.lit(0), one)
+
+
+def _account(m: Column, key: str) -> Column:
+    """The country stays, the account is permuted, the check digits follow from both."""
+    bare, country = F.translate(m, " ", ""), F.substr(m, F.lit(1), F.lit(2))
+    fits = mod_97(F.concat(F.substr(bare, F.lit(5), F.length(bare)), F.substr(bare, F.lit(1), F.lit(4)))) == 1
+    check = lambda b: F.lpad((98 - mod_97(F.concat(F.translate(b, " ", ""), country, F.lit("00")))).cast("string"), 2, "0")
+    new = F.aggregate(F.array(permute_text(F.substr(m, F.lit(5), F.length(m)), key + "account")), F.lit(""), lambda _, b: F.concat(country, check(b), b))
+    rest = F.substr(m, F.lit(6), F.length(m))  # else it may be a card number with a word before it
+    return F.when(fits, new).when(rest.rlike(rf"\A(?:{_CARDS})\z"), F.concat(F.substr(m, F.lit(1), F.lit(5)), _card(rest, key))).otherwise(m)
+
+
 def _ip(m: Column, key: str) -> Column:
     n = F.aggregate(F.split(m, r"\."), F.lit(0).cast("long"), lambda s, x: s * 256 + x.cast("long"))
     fits = ~F.exists(F.split(m, r"\."), lambda x: x.cast("int") > 255)
@@ -189,7 +213,9 @@ def pseudonym(m: Column, key: str) -> Column:
         .when(m.rlike(r"\A(?:\d{1,3}\.){3}\d{1,3}\z"), _ip(m, key))
         .when(m.rlike(r"\A\d{4}-\d\d-\d\d\z"), _date(m, "yyyy-MM-dd", key))
         .when(m.rlike(r"\A\d\d\.\d\d\.\d{4}\z"), _date(m, "dd.MM.yyyy", key))
-        .when(m.rlike(r"\A\d\d/\d\d/\d{4}\z"), _date(m, "dd/MM/yyyy", key))
+        .when(m.rlike(r"\A\d\d/(?:0\d|1[0-2])/\d{4}\z"), _date(m, "dd/MM/yyyy", key))
+        .when(m.rlike(r"\A\d\d/\d\d/\d{4}\z"), _date(m, "MM/dd/yyyy", key))
+        .when(m.rlike(rf"\A{_ACCOUNTS}\z"), _account(m, key))
         .when(m.rlike(rf"\A(?:{_CARDS})\z"), _card(m, key))
         .otherwise(_phone(m, key))
     )
@@ -199,7 +225,7 @@ def pseudonymise(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with pseudonyms, n_found (long) and changed (boolean) for every row of (doc_id, text).
 
     A null text stays null with n_found 0, an empty one empty. Repeated rows get the same result. Slashed dates are read
-    as day, month, year. Only documents in which the pattern occurs are taken apart; other columns are not read.
+    as day, month, year, or, where that can't be, as month, day, year (two such dates may then get one pseudonym). Only documents in which the pattern occurs are taken apart; other columns are not read.
     """
     t = F.col("text")
     rows = docs.select("doc_id", "text")
