@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 #: By id of the table; the tables themselves, so that no id comes twice.
 _written: dict[int, tuple[SparkSession, str, DataFrame]] = {}
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of a session while a table is written: shuffle files go when the write has ended, not some time later, and
+#: Python workers get batches of some MB of text.
+WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
 
 #: Rows of a lookup side that may be broadcast; above it the operators take a shuffled join.
 BROADCAST_ROWS = 200_000
@@ -39,12 +41,14 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage is cut, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    kept = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")  # the write's shuffle files go when it has ended, not some time later
+    kept = {k: spark.conf.get(k) for k in WHILE_WRITING}
     try:
+        for k, v in WHILE_WRITING.items():
+            spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, kept)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     _written[id(out)] = (spark, path, out)
     return out
