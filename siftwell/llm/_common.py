@@ -37,13 +37,17 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage is cut, and lost executors cost nothing."""
+def materialize(df: DataFrame, label: str, batch: int | None = None) -> DataFrame:
+    """Writes df as Parquet in the shared folder and reads it again: lineage is cut, and lost executors cost nothing.
+
+    batch: rows of a batch for Python workers, where rows are whole blocks.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    kept = {k: spark.conf.get(k) for k in WHILE_WRITING}
+    settings = {**WHILE_WRITING, **({"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch)} if batch else {})}
+    kept = {k: spark.conf.get(k) for k in settings}
     try:
-        for k, v in WHILE_WRITING.items():
+        for k, v in settings.items():
             spark.conf.set(k, v)
         df.write.parquet(path)
     finally:
