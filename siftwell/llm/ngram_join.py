@@ -71,11 +71,15 @@ class Join:
         """The smallest size of a band: the sizes of a band can link with each other and with the next band's only."""
         return 1 if band == 0 else (self.lowest(band - 1) * self.percent_of) // self.percent + 1
 
+    def edges(self, size: int) -> list[int]:
+        """The lowest sizes of all bands up to that of this size."""
+        out = [self.lowest(0)]
+        while (low := self.lowest(len(out))) <= size:
+            out.append(low)
+        return out
+
     def band(self, size: int) -> int:
-        k = 0
-        while self.lowest(k + 1) <= size:
-            k += 1
-        return k
+        return len(self.edges(size)) - 1
 
     @lru_cache(maxsize=None)  # noqa: B019
     def reach(self, band: int) -> int:
@@ -196,7 +200,7 @@ def allocated(s: np.ndarray, size: np.ndarray, join: Join) -> tuple[np.ndarray,
     """
     n = len(size)
     found, owners, spare = [], [], [np.zeros(n, np.int32), np.zeros(n, np.int32)]
-    bands = np.array([join.band(int(x)) if x else -1 for x in range(int(size.max(initial=0)) + 1)])[size] if n else np.zeros(0, int)
+    bands = np.where(size > 0, np.searchsorted(join.edges(int(size.max(initial=0))), size, "right") - 1, -1)
     owner = np.repeat(np.arange(n), size)
     for step in (0, 1):
         scheme = np.where(size > 0, bands - step, -1)
