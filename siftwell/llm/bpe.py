@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftwell.llm import _pieces
-from siftwell.llm._common import table
+from siftwell.llm._common import lean, table
 
 NEVER = 1 << 60
 
@@ -227,7 +227,7 @@ def encode(docs: DataFrame, tokenizer: Tokenizer) -> DataFrame:
                 part = b.slice(s, 1024)
                 yield pa.RecordBatch.from_arrays([part.column(0), encoder.encode(part.column(1).to_pylist())], names=["doc_id", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, ids array<int>")
 
 
 def decode(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
@@ -240,7 +240,7 @@ def decode(rows: DataFrame, tokenizer: Tokenizer) -> DataFrame:
                 part = b.slice(s, 1024)
                 yield pa.RecordBatch.from_arrays([*part.columns, decoder.decode(part.column(1))], names=["doc_id", "ids", "text"])
 
-    return rows.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, text string")
+    return rows.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, ids array<int>, text string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import free, fresh, materialize, small, table, written
+from siftwell.llm._common import free, fresh, lean, materialize, small, table, written
 
 _U = np.uint64
 
@@ -250,8 +250,8 @@ def _lists(values: np.ndarray, size: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _parts(b: pa.RecordBatch, most: int = 1 << 20, rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Slices of about a MB of text and so many rows at most: what a worker needs for them is some hundred bytes a byte."""
+def _parts(b: pa.RecordBatch, most: int = 1 << 18, rows: int = 2048) -> Iterator[pa.RecordBatch]:
+    """Slices of about a quarter MB of text and so many rows at most: what a worker needs for them is some hundred bytes a byte."""
     length = pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False)
     edge = np.flatnonzero(np.diff(np.cumsum(length) // most) | np.diff(np.arange(len(length)) // rows)) + 1
     for a, z in zip([0, *edge], [*edge, b.num_rows], strict=True):
@@ -288,7 +288,7 @@ def index(docs: DataFrame, join: Join) -> DataFrame:
                 sig, count, spare = allocated(s, size, join)
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(sig, count), *map(pa.array, spare), *map(pa.array, sketches(s, size))], names=["doc_id", "n", "a", "b", "sigs", "spare0", "spare1", *MARKS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, a long, b long, sigs array<long>, spare0 int, spare1 int" + _MARKS)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, a long, b long, sigs array<long>, spare0 int, spare1 int" + _MARKS)
 
 
 def sets(docs: DataFrame, join: Join) -> DataFrame:
@@ -301,7 +301,7 @@ def sets(docs: DataFrame, join: Join) -> DataFrame:
                 a, b = set_hashes(s, size)
                 yield pa.RecordBatch.from_arrays([x.column(0), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(s, size)], names=["doc_id", "a", "b", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, a long, b long, shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, a long, b long, shingles array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -409,7 +409,7 @@ def _sifted(rows: DataFrame, shared: DataFrame) -> DataFrame:
             row = np.repeat(np.arange(b.num_rows), count)[hit]
             yield pa.RecordBatch.from_arrays([*(b.column(k).take(pa.array(row)) for k in range(4)), pa.array(key[hit])], names=["a", "b", "spare0", "spare1", "key"])
 
-    return rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", "b", "spare0", "spare1", "sigs").mapInArrow(run, "a long, b long, spare0 int, spare1 int, key long")
+    return rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", "b", "spare0", "spare1", "sigs").mapInArrow(lean(run), "a long, b long, spare0 int, spare1 int, key long")
 
 
 def _members(rows: DataFrame) -> DataFrame:

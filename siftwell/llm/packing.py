@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.llm import _pieces
-from siftwell.llm._common import materialize, table
+from siftwell.llm._common import lean, materialize, table
 from siftwell.llm.bpe import byte_letters
 
 SIZE, SEPARATOR = 4096, 1
@@ -122,7 +122,7 @@ def cut(docs: DataFrame, tokenizer: Tokenizer, size: int = SIZE, with_ids: bool
                     out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(np.concatenate(chunk).astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 class Gaps:
@@ -260,7 +260,7 @@ def place(pieces: DataFrame, size: int = SIZE, buckets: int = 128) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(first + nth // n), pa.array(offset + nth % n * length)], names=names)
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(lean(run), schema)
 
 
 def pack(docs: DataFrame, tokenizer: Tokenizer, size: int = SIZE, with_ids: bool = False) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm._common import table
+from siftwell.llm._common import lean, table
 
 KINDS = ("assign", "access", "hex", "github", "npm", "xprv")
 BASE = KINDS[:3]
@@ -133,7 +133,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t, ac)] if t else [] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, _SPANS)], names=["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def redacted(text: str, spans: list[Span], mark: str) -> str:
@@ -170,7 +170,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
                 b = pa.RecordBatch.from_arrays(arrays, schema=b.schema)
             yield b
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
