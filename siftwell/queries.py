@@ -11,12 +11,12 @@ from pyspark.sql import functions as F
 
 from siftwell.functions.similarity import Bm25
 from siftwell.functions.text import ENGLISH_STOP_WORDS, Analyzer, Token, fold, ngrams, stop, tokenize
-from siftwell.operators import collect, facets, suggest, vectors
+from siftwell.operators import collect, facets, maxscore, suggest, vectors
 from siftwell.plans.compiler import range_condition
 from siftwell.plans.query import Boolean, Boost, Clause, ConstantScore, DisjunctionMax, Fuzzy, MatchAll, MatchNone, Phrase, Prefix, Range, Regexp, SpanNear, SpanOr, SpanTerm, Term, TermInSet, Wildcard, rewrite
 from siftwell.searcher import Searcher
 from siftwell.sources.files import scratch
-from siftwell.sources.index import FieldSpec, Index, IndexSchema, Snapshot
+from siftwell.sources.index import FieldSpec, Index, IndexSchema, MergePolicy, Snapshot
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,6 +177,18 @@ def _(s: SparkSession, d: str) -> DataFrame:
     return rounded(searcher(s, d).hits(Boolean(should=(t("the"), t("of"), t("with")))), 10)
 
 
+@query("s11_maxscore_top10", f", {ABC} SELECT doc_id, round(coalesce(sa, 0) + coalesce(sb, 0) + coalesce(sc_, 0), 6) AS score FROM u {TOP10}")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """The rows of s08_boolean_top10, by bounds; what rounding makes equal to the tenth is among the contenders."""
+    return rounded(maxscore.contenders(snapshot(s, d), Boolean(should=(t("the"), t("of"), t("with"))), 10, slack=1e-6), 10)
+
+
+@query("s11_maxscore_boosted", f", {ABC} SELECT doc_id, round(coalesce(sa, 0) + 4 * coalesce(sc_, 0), 6) AS score FROM u WHERE sa IS NOT NULL OR sc_ IS NOT NULL {TOP10}")
+def _(s: SparkSession, d: str) -> DataFrame:
+    """A light and a heavy term: the light one's postings are read for few documents."""
+    return rounded(maxscore.contenders(snapshot(s, d), Boolean(should=(t("the"), Boost(t("with"), 4))), 10, slack=1e-6), 10)
+
+
 @query("s12_explain", f"SELECT doc_id, round(s, 6) AS value, 'weight(body:the), result of:' AS description FROM sc WHERE term = 'the' ORDER BY round(s, 6) DESC, doc_id LIMIT 1")
 def _(s: SparkSession, d: str) -> DataFrame:
     e = searcher(s, d)
@@ -186,6 +198,11 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 # collectors
+@query("k02_ids", "SELECT doc_id FROM p WHERE term = 'the'")
+def _(s: SparkSession, d: str) -> DataFrame:
+    return searcher(s, d).ids(t("the"))
+
+
 @query("k03_count", "SELECT count(*) AS hits FROM p WHERE term = 'the'")
 def _(s: SparkSession, d: str) -> DataFrame:
     return searcher(s, d).hits(t("the")).agg(F.count("*").alias("hits"))
@@ -484,3 +501,60 @@ def _(s: SparkSession, d: str) -> DataFrame:
     for _, name, ok in index.check():
         found[name] = found.get(name, True) and ok
     return s.createDataFrame(sorted(found.items()), "name string, passed boolean")
+
+
+#: The parts as _parts indexes them: p (doc_id, seg: segment, term, freq), n (doc_id, seg, dl).
+PARTS = r"""WITH tok AS (SELECT p_partkey AS doc_id, p_partkey % 2 AS seg, unnest(regexp_extract_all(lower(p_name), '[\p{L}\p{N}]+')) AS term FROM part),
+p AS (SELECT doc_id, seg, term, count(*) AS freq FROM tok GROUP BY ALL), n AS (SELECT doc_id, seg, count(*) AS dl FROM tok GROUP BY ALL),
+"""
+_SMALL = Term("p_name", "small")
+
+
+@query("k11_segments_global", PARTS + "st AS (SELECT count(*) AS dc, avg(dl) AS mean FROM n), df AS (SELECT count(*) AS df FROM p WHERE term = 'small') SELECT doc_id, round(ln(1 + (dc - df + 0.5) / (df + 0.5)) * freq / (freq + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS score FROM p JOIN n USING (doc_id) CROSS JOIN st CROSS JOIN df WHERE term = 'small'", cte=False)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(Searcher(_parts(s, d).snapshot()).hits(_SMALL))
+
+
+@query("k14_segments_own_statistics", PARTS + "st AS (SELECT seg, count(*) AS dc, avg(dl) AS mean FROM n GROUP BY seg), df AS (SELECT seg, count(*) AS df FROM p WHERE term = 'small' GROUP BY seg) SELECT p.doc_id, round(ln(1 + (dc - df + 0.5) / (df + 0.5)) * freq / (freq + 1.2 * (0.25 + 0.75 * dl / mean)), 6) AS score FROM p JOIN n USING (doc_id) JOIN st ON st.seg = p.seg JOIN df ON df.seg = p.seg WHERE term = 'small'", cte=False)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return rounded(Searcher(_parts(s, d).snapshot(), scope="segment").hits(_SMALL))
+
+
+@query("k15_segments_sorted", PARTS + "z AS (SELECT p_partkey AS doc_id, p_size::BIGINT AS value FROM part) SELECT doc_id, value FROM p JOIN z USING (doc_id) WHERE term = 'small' AND value IS NOT NULL", cte=False)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return Searcher(_parts(s, d).snapshot()).sorted_by(_SMALL, "p_size", descending=True)
+
+
+@query("a05_facets_over_segments", PARTS + "z AS (SELECT p_partkey AS doc_id, p_size::BIGINT AS label FROM part WHERE p_size IS NOT NULL) SELECT label, count(h.doc_id) AS count FROM z LEFT JOIN (SELECT doc_id FROM p WHERE term = 'small') AS h USING (doc_id) GROUP BY label", cte=False)
+def _(s: SparkSession, d: str) -> DataFrame:
+    return Searcher(_parts(s, d).snapshot()).facets(_SMALL, "p_size")
+
+
+@query("w06_rollback", "SELECT p_partkey AS doc_id, p_name, p_size::BIGINT AS p_size FROM part", cte=False)
+def _(s: SparkSession, d: str) -> DataFrame:
+    index = _parts(s, d)
+    index.add(s.createDataFrame([(-1, "never seen", 1, None)], "doc_id long, p_name string, p_size long, gone long"))
+    index.rollback()
+    index.commit()
+    return _state(index)
+
+
+@query("w07_counts", f"SELECT (SELECT count(*) FROM part WHERE NOT {_LOW}) AS committed, 1::BIGINT AS pending", cte=False)
+def _(s: SparkSession, d: str) -> DataFrame:
+    index = _parts(s, d)
+    index.delete(Range.of("p_size", 1, 10))
+    index.add(s.createDataFrame([(-1, "to come", 1, None)], "doc_id long, p_name string, p_size long, gone long"))
+    return s.createDataFrame([(index.committed_count(), index.pending_count())], "committed long, pending long")
+
+
+@query("w22_auto_merge", "SELECT 1::BIGINT AS segments, count(*) AS docs FROM part", cte=False)
+def _(s: SparkSession, d: str) -> DataFrame:
+    index = _parts(s, d)
+    merged = index.auto_merge(MergePolicy(at_once=2, per_tier=1, floor=1)).segments
+    return index.snapshot().documents.agg(F.lit(len(merged)).cast("long").alias("segments"), F.count("*").alias("docs"))
+
+
+@query("w24_verify", "SELECT unnest(['lengths', 'postings', 'terms']) AS name, true AS passed, 2::BIGINT AS segments", cte=False)
+def _(s: SparkSession, d: str) -> DataFrame:
+    found = s.createDataFrame(_parts(s, d).verify(), "segment string, name string, passed boolean")
+    return found.groupBy("name").agg(F.bool_and("passed").alias("passed"), F.count("*").alias("segments"))

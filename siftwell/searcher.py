@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from siftwell.functions.similarity import Bm25
 from siftwell.functions.text import Analyzer
-from siftwell.operators import collect, facets, highlight, vectors
+from siftwell.operators import collect, facets, highlight, maxscore, vectors
 from siftwell.plans.compiler import Compiler
 from siftwell.plans.explain import Explainer
 from siftwell.plans.parser import parse
@@ -40,7 +40,11 @@ class Searcher:
         parts = [Compiler(self.index.only(s), self.bm25).compile(clause) for s in self.index.commit.segments]
         return reduce(DataFrame.unionByName, parts) if parts else Compiler(self.index, self.bm25).compile(clause)
 
-    def search(self, query: Clause | str, n: int = 10, default: str | None = None) -> DataFrame:
+    def search(self, query: Clause | str, n: int = 10, default: str | None = None, by_bounds: bool = False) -> DataFrame:
+        """by_bounds: sums of terms leave out postings that can't matter, for one or two small jobs before the search."""
+        if by_bounds and self.scope == "global":
+            clause = self.parse(query, default) if isinstance(query, str) else query
+            return collect.top_docs(maxscore.contenders(self.index, clause, n, self.bm25), n)
         return collect.top_docs(self.hits(query, default), n)
 
     def ids(self, query: Clause | str, default: str | None = None) -> DataFrame:

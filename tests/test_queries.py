@@ -51,6 +51,29 @@ def test_one_scan_and_one_shuffle(spark):
     assert plan.count("Scan parquet") == 1 and plan.count("Exchange hashpartitioning") == 1 and "PushedFilters: [" in plan and "term" in plan.split("PushedFilters: [")[1].split("]")[0]
 
 
+def test_bounds_leave_out_light_terms():
+    from siftwell.operators.maxscore import split, weights
+    from siftwell.plans.query import Boolean, Boost, Term
+
+    a, b, c = Term("f", "a"), Term("f", "b"), Term("f", "c")
+    assert weights(Boolean(should=(a, Boost(b, 2), Boost(Boolean(should=(a, c)), 3)))) == {("f", "a"): 4.0, ("f", "b"): 2.0, ("f", "c"): 3.0}
+    assert weights(Boolean(must=(a,))) is None and weights(Boost(a, -1)) is None
+    assert split({"x": 3.0, "y": 0.5, "z": 0.4}, 1.0) == (["x"], ["z", "y"]) and split({"x": 3.0, "y": 0.5}, 0.5) == (["x", "y"], [])
+
+
+@pytest.mark.parametrize("n", [1, 3, 10, 100_000])
+def test_search_by_bounds(spark, n):
+    """The same best hits as the plain search, for boosts that make one term heavy and for none; clauses of other kinds, too."""
+    from siftwell.plans.query import Boolean, Boost, Term
+    from siftwell.searcher import Searcher
+
+    s = Searcher(snapshot(spark, SF))
+    of = lambda w: Term("body", w)
+    for c in (Boolean(should=(of("the"), Boost(of("with"), 20))), Boolean(should=(of("the"), of("of"), of("absent"))), Boolean(must=(of("the"),), should=(of("of"),)), of("the")):
+        plain, short = ([(r.doc_id, round(r.score, 9)) for r in s.search(c, n, by_bounds=b).collect()] for b in (False, True))
+        assert plain == short
+
+
 def test_stream(spark, tmp_path):
     from siftwell.searcher import Searcher
     from siftwell.plans.query import MatchAll, Term
