@@ -12,11 +12,10 @@ lists, as counted over the corpus. What two linked sets share is worth more than
 signatures alike (longest list first), neither leaves out the last of what they share.
 
 Equal sets are one class; classes meet, not copies. In a signature's bucket each class is first verified against one
-leader. Links make components; then every pair of a bucket that the components still separate is looked at (first one for
-each two components, then all that are left), so no link that could join two components is missed, and none within one need
-be looked for. Such a pair is a row only if sizes and
-parity sketches allow a link: a shingle flips one of 512 bits, so two sets differ in at least as many shingles as their
-sketches in bits. Verification counts whole sets.
+leader. Links make components; then every pair of a bucket that the components still separate is looked at, so no link
+that could join two components is missed, and none within one need be looked for. Pairs are never rows: where sizes and
+parity sketches allow a link (a shingle flips one of 512 bits, so two sets differ in at least as many shingles as their
+sketches in bits) the two classes are sent to a task, block against block, which counts whole sets and returns what joins.
 
 A document's number of links takes every pair: all links of a class lie in its component, so each component's sets are
 dealt into blocks, and every two blocks meet in one task, which counts all their overlaps and returns sums, not pairs.
@@ -430,10 +429,131 @@ def _members(rows: DataFrame) -> DataFrame:
     return members
 
 
-def _one_each(pairs: DataFrame) -> DataFrame:
-    """A pair for each two components."""
-    one = pairs.groupBy(F.least("cx", "cy").alias("c"), F.greatest("cx", "cy").alias("d")).agg(F.min(F.struct("a_x", "a_y")).alias("p"))
-    return materialize(one.select("p.a_x", "p.a_y"), "one-each")
+#: Rows of a block of a bucket, and of those of small buckets that meet in one task.
+BUCKET_ROWS = 4096
+#: Pairs whose sketches are compared in one go.
+PAIRS = 1 << 20
+
+
+def _met(rows: DataFrame, group: str, sizes: DataFrame, bins: int) -> DataFrame:
+    """rows dealt for applyInArrow by own, bin, i, j: every two blocks of a large group meet, small groups meet in bins.
+
+    sizes: the groups, with how many blocks each has.
+    """
+    own = F.when(F.col("blocks") > 1, F.col(group))
+    dealt = rows.join(sizes, group).withColumns({"own": own, "bin": F.when(own.isNull(), F.pmod(F.xxhash64(group), F.lit(bins))), "block": F.pmod(F.xxhash64("a"), F.col("blocks"))})
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("blocks", "other")
+
+
+def _possible(t: pa.Table, join: Join) -> pa.Table:
+    """lead and a of those rows that sizes and sketches allow a link with a row of their key and of another component."""
+    key, n, component, block = (t[c].to_numpy() for c in ("key", "n", "component", "block"))
+    order = np.lexsort((n, key))
+    key, n, component, block = key[order], n[order], component[order], block[order]
+    marks = [t[m].to_numpy()[order].view(_U) for m in MARKS]  # of a negative number numpy counts the bits of its absolute value
+    two = t["i"][0].as_py() != t["j"][0].as_py()
+    # by key, then size: what a row may link with are the next ones of its key, up to a size
+    most = int(n.max()) + 1
+    base = np.cumsum(np.append(False, key[1:] != key[:-1])) * most
+    at = np.arange(len(n))
+    count = np.searchsorted(base + n, base + np.minimum(n * join.percent_of // join.percent, most - 1), "right") - at - 1
+    may = np.zeros(len(n), bool)
+    part = np.cumsum(count) // PAIRS
+    for rows in np.split(at, np.flatnonzero(np.diff(part)) + 1):
+        x, y = np.repeat(rows, count[rows]), _spans(rows + 1, count[rows])
+        asked = (component[x] != component[y]) & ~(may[x] & may[y])
+        if two:
+            asked &= block[x] != block[y]
+        x, y = x[asked], y[asked]
+        both = n[x] + n[y]
+        allowed = both + 2 * (-join.percent * both // (join.percent + join.percent_of))
+        for m in marks:
+            allowed = allowed - np.bitwise_count(m[x] ^ m[y])
+            near = allowed >= 0
+            x, y, allowed = x[near], y[near], allowed[near]
+        may[x] = may[y] = True
+    found = order[may]
+    return t.select(["lead", "a"]).take(pa.array(found))
+
+
+def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of the edges (u, v), and for each the smallest that it reaches."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y = at[: len(u)], at[len(u) :]
+    to = np.arange(len(ids))
+    while True:
+        least, new = np.minimum(to[x], to[y]), to.copy()
+        for end in (x, y, to[x], to[y]):
+            np.minimum.at(new, end, least)
+        new = new[new]
+        if (new == to).all():
+            return ids, ids[to]
+        to = new
+
+
+def _blocks(t: pa.Table) -> tuple[list[np.ndarray], list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """The rows of the blocks i and j (perhaps one) of t, the shingles of each in order with the places of their rows in
+    the block, and the sizes of all sets."""
+    lists = t["shingles"].combine_chunks()
+    size = pc.list_value_length(lists).to_numpy().astype(np.int64)
+    e, owner = lists.flatten().to_numpy().view(_U), np.repeat(np.arange(len(size)), size)
+    order = np.argsort(e, kind="stable")
+    e, owner = e[order], owner[order]
+    block = t["block"].to_numpy()
+    rows, sides = [], []
+    for k in (t["i"][0].as_py(), t["j"][0].as_py()):
+        own = block == k
+        place = np.cumsum(own) - 1
+        rows.append(np.flatnonzero(own))
+        sides.append((e[own[owner]], place[owner[own[owner]]]))
+    return rows, sides, size
+
+
+def _joined(t: pa.Table, join: Join) -> pa.Table:
+    """Edges (u, v) between the components that links of two rows with one lead join; no more than there are rows."""
+    t = t.take(pa.array(np.lexsort((t["a"].to_numpy(), t["lead"].to_numpy()))))
+    lead, a = t["lead"].to_numpy(), t["a"].to_numpy()
+    t = t.filter(pa.array(np.append(True, (lead[1:] != lead[:-1]) | (a[1:] != a[:-1]))))  # rows that repeat a doc_id
+    edge = np.flatnonzero(np.diff(t["lead"].to_numpy())) + 1
+    out = []
+    for start, end in zip([0, *edge], [*edge, len(t)], strict=True):
+        cell = t.slice(start, end - start)
+        component = cell["component"].to_numpy()
+        (x, y), sides, size = _blocks(cell)
+        if len(x) and len(y):
+            both = overlaps(*sides, len(x), len(y))
+            linked = join.percent_of * both >= join.percent * (size[x][:, None] + size[y][None, :] - both)
+            k, l = np.nonzero(linked & (component[x][:, None] != component[y][None, :]))
+            out.append(_stars(component[x][k], component[y][l]))
+    u, v = (np.concatenate([np.zeros(0, np.int64), *side]) for side in (zip(*out, strict=True) if out else ((), ())))
+    return pa.table({"u": u[u != v], "v": v[u != v]})
+
+
+def _between(docs: DataFrame, members: DataFrame, known: DataFrame, join: Join) -> DataFrame:
+    """Edges (u, v) between components whose classes share a signature and link.
+
+    Pairs are no rows: in each bucket a task finds the rows that may link with a row of another component, and the sets
+    of these meet by the leaders of their buckets, where a task counts them all.
+    """
+    placed = members.select("key", "a").join(known.select("a", "component"), "a")
+    apart = placed.groupBy("key").agg(F.min("component").alias("s"), F.max("component").alias("t"), F.count("*").alias("rows")).filter("s < t")
+    apart = materialize(apart.select("key", "rows", F.ceil(F.col("rows") / BUCKET_ROWS).cast("long").alias("blocks")), "apart")
+    bins = 1 + (apart.agg(F.sum("rows")).first()[0] or 0) // BUCKET_ROWS
+    looked = members.join(known.select("a", "n", "component", *MARKS), "a")
+    met = _met(looked, "key", apart.select("key", "blocks"), bins).select("own", "bin", "i", "j", "block", "key", "lead", "a", "n", "component", *MARKS)
+    may = materialize(met.groupBy("own", "bin", "i", "j").applyInArrow(lambda t: _possible(t, join), "lead long, a long").distinct(), "possible")
+    free(apart)
+    wanted = materialize(known.select("a", "b", "id", "n", "component").join(may.select("a").distinct(), "a", "left_semi"), "wanted")
+    cells = may.join(wanted.select("a", "n"), "a").groupBy("lead").agg(F.count("*").alias("sets"), F.sum("n").alias("shingles"))
+    cells = materialize(cells.withColumn("blocks", F.ceil(F.greatest(F.col("sets") / BLOCK_SETS, F.col("shingles") / BLOCK_SHINGLES)).cast("long")), "cells")
+    one = cells.filter("blocks = 1").agg(F.sum("sets").alias("sets"), F.sum("shingles").alias("shingles")).first()
+    bins = 1 + max((one["sets"] or 0) // (BLOCK_SETS // 2), (one["shingles"] or 0) // (BLOCK_SHINGLES // 2))
+    found = materialize(_chosen(docs, wanted, small(wanted, 1_000_000), join).select("a", "component", "shingles"), "sets")
+    met = _met(may.join(found, "a"), "lead", cells.select("lead", "blocks"), bins).select("own", "bin", "i", "j", "block", "lead", "a", "component", "shingles")
+    edges = materialize(met.groupBy("own", "bin", "i", "j").applyInArrow(lambda t: _joined(t, join), "u long, v long").distinct(), "between")
+    free(may, wanted, cells, found)
+    return edges
 
 
 def _labelled(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
@@ -449,43 +569,14 @@ def _labelled(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     found = _sets_of(docs, first, nodes, join)
     edges = _linked(first, found, join)
     label = components(edges.union(_same_document(rows, nodes)))
-    free(found, edges)
-    known = nodes.join(label, "id", "left").select("a", "n", F.coalesce("component", "id").alias("component"), *MARKS)
-    placed = members.select("key", "a").join(known.select("a", "component"), "a")
-    apart = placed.groupBy("key").agg(F.min("component").alias("s"), F.max("component").alias("t")).filter("s < t").select("key")
-    left = members.select("key", "a").join(apart, "key", "left_semi").join(known, "a")
-    x, y = (left.select("key", *[F.col(c).alias(f"{c}_{side}") for c in ("a", "component", "n", *MARKS)]) for side in "xy")
-    pairs = x.join(y, (x["key"] == y["key"]) & (F.col("component_x") < F.col("component_y")) & _may_link(join))
-    turned = F.col("a_x") > F.col("a_y")
-    pairs = pairs.select(F.least("a_x", "a_y").alias("a_x"), F.greatest("a_x", "a_y").alias("a_y"), F.when(turned, F.col("component_y")).otherwise(F.col("component_x")).alias("cx"), F.when(turned, F.col("component_x")).otherwise(F.col("component_y")).alias("cy")).distinct()
-    tried = first.select(F.least("a_x", "a_y").alias("a_x"), F.greatest("a_x", "a_y").alias("a_y"))
-    pairs = materialize(pairs.join(tried, ["a_x", "a_y"], "left_anti"), "pairs")
-    free(members, first)
-    for turn in range(3):
-        if not pairs.limit(1).count():
-            break
-        # what links joins two components, and their other pairs need no look
-        asked = pairs.select("a_x", "a_y") if turn == 2 else _one_each(pairs)
-        found = _sets_of(docs, asked, nodes, join)
-        more = _linked(asked, found, join)
-        free(found)
-        if more.limit(1).count():
-            # links between components, then what they make of each component
-            last = components(_relabelled(more, label, "component")).select("id", F.col("component").alias("to"))
-            to = lambda c, last=last: last.select(F.col("id").alias(c), F.col("to").alias(f"to_{c}"))
-            alone = more.select("u").union(more.select("v")).distinct().join(label.select(F.col("id").alias("u")), "u", "left_anti")
-            label = label.select("id", "component").union(alone.select("u", F.col("u").alias("component"))).join(to("component"), "component", "left")
-            label = materialize(label.select("id", F.coalesce("to_component", "component").alias("component")), "labels")
-            if turn < 2:
-                moved = pairs.join(to("cx"), "cx", "left").join(to("cy"), "cy", "left")
-                moved = moved.select("a_x", "a_y", F.coalesce("to_cx", "cx").alias("cx"), F.coalesce("to_cy", "cy").alias("cy")).filter("cx <> cy")
-                moved = materialize(moved.join(asked, ["a_x", "a_y"], "left_anti"), "pairs")
-        elif turn < 2:
-            moved = materialize(pairs.join(asked, ["a_x", "a_y"], "left_anti"), "pairs")
-        if turn < 2:
-            free(pairs, asked)
-            pairs = moved
-    return rows, classes.join(label, "id", "left").select("n", "a", "b", "id", F.coalesce("component", "id").alias("component"))
+    free(found, edges, first)
+    known = materialize(nodes.join(label, "id", "left").select("a", "b", "id", "n", F.coalesce("component", "id").alias("component"), *MARKS), "known")
+    edges = _between(docs, members, known, join)
+    last = components(edges).select(F.col("id").alias("component"), F.col("component").alias("to"))
+    named = known.select("n", "a", "b", "id", "component").join(last, "component", "left").select("n", "a", "b", "id", F.coalesce("to", "component").alias("component"))
+    free(members, edges, label)
+    alone = classes.filter("id IS NULL").select("n", "a", "b", "id", F.col("id").alias("component"))
+    return rows, named.union(alone)
 
 
 def join_components(docs: DataFrame, join: Join) -> DataFrame:
@@ -540,26 +631,18 @@ def overlaps(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray],
 def _near(t: pa.Table, join: Join) -> pa.Table:
     """a and near (copies of its linked classes) from the sets of two blocks i and j, or of one."""
     t = t.take(np.unique(t["a"].to_numpy(), return_index=True)[1])  # rows that repeat a doc_id
-    i, j = t["i"][0].as_py(), t["j"][0].as_py()
-    lists = t["shingles"].combine_chunks()
-    size = pc.list_value_length(lists).to_numpy().astype(np.int64)
     # of one component only: a remixed hash
-    e = _mix(lists.flatten().to_numpy().view(_U) ^ np.repeat(_mix(t["component"].to_numpy().view(_U)), size))
-    owner, order = np.repeat(np.arange(len(size)), size), np.argsort(e, kind="stable")
-    e, owner = e[order], owner[order]
-    a, copies, block = (t[c].to_numpy() for c in ("a", "copies", "block"))
-    rows, sides = [], []
-    for k in (i, j):
-        own = block == k
-        place = np.cumsum(own) - 1
-        rows.append(np.flatnonzero(own))
-        sides.append((e[own[owner]], place[owner[own[owner]]]))
+    lists = t["shingles"].combine_chunks()
+    each = np.repeat(_mix(t["component"].to_numpy().view(_U)), pc.list_value_length(lists).to_numpy())
+    own = _lists(_mix(lists.flatten().to_numpy().view(_U) ^ each), pc.list_value_length(lists).to_numpy())
+    a, copies = (t[c].to_numpy() for c in ("a", "copies"))
+    rows, sides, size = _blocks(t.set_column(t.schema.get_field_index("shingles"), "shingles", own))
     x, y = rows
     if not len(x) or not len(y):
         return pa.table({"a": pa.array([], pa.int64()), "near": pa.array([], pa.int64())})
     both = overlaps(*sides, len(x), len(y))
     linked = join.percent_of * both >= join.percent * (size[x][:, None] + size[y][None, :] - both)
-    if i == j:
+    if t["i"][0] == t["j"][0]:
         np.fill_diagonal(linked, False)
         return pa.table({"a": a[x], "near": linked @ copies[y]})
     return pa.table({"a": np.concatenate([a[x], a[y]]), "near": np.concatenate([linked @ copies[y], copies[x] @ linked])})

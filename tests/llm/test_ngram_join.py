@@ -167,3 +167,43 @@ def test_a_doc_id_with_two_texts_joins_their_classes(spark):
     got = sorted(map(tuple, ngram_join.join_components(docs, Join(3, 90, n=6)).collect()), key=str)
     assert got == brute(rows, Join(3, 90, n=6))
     assert sorted(r.doc_id for r in ngram_join.keep_one(docs, Join(3, 90, n=6)).collect() if r.doc_id is not None) == [3, 9]
+
+
+def similar(rng, n, size, differ):
+    """Texts that share most of their words, of which few or no two link."""
+    base = [f"w{i}" for i in range(size)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for p in rng.sample(range(size), differ):
+            w[p] = f"x{i}_{p}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_pairs_of_similar_texts_are_no_rows(spark, monkeypatch):
+    """Long texts, whose sketches tell nothing, share signatures and don't link: no table holds their pairs."""
+    rows = similar(random.Random(4), 40, 6000, 150)
+    written, kept = {}, ngram_join.materialize
+
+    def counted(df, label, *args):
+        out = kept(df, label, *args)
+        if {"a_x", "a_y"} <= set(out.columns) or {"u", "v"} <= set(out.columns):
+            written[label] = max(written.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    docs = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA)
+    assert {(r.doc_id, r.component_id) for r in ngram_join.join_components(docs, Join(3, 90, n=40)).collect()} == {(i, i) for i, _ in rows}
+    assert written and max(written.values()) <= len(rows), written
+
+
+def test_buckets_in_many_blocks(spark, monkeypatch):
+    """Blocks and chunks of a few rows find what brute force finds."""
+    for name, most in (("BUCKET_ROWS", 4), ("BLOCK_SETS", 4), ("PAIRS", 16)):
+        monkeypatch.setattr(ngram_join, name, most)
+    rng = random.Random(6)
+    rows = corpus(6) + [(1000 + i, t) for i, (_, t) in enumerate(similar(rng, 40, 120, 2) + similar(rng, 40, 300, 5))]
+    join = Join(3, 90, n=240)
+    docs = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA)
+    assert sorted(map(tuple, ngram_join.join_components(docs, join).collect()), key=str) == brute(rows, join)
