@@ -5,7 +5,8 @@ the smaller one's size band. If hashes deal the universe into segments of which
 allowances (each plus one) add up to more than reach, two linked sets agree in some segment within its allowance: they
 share the segment's hash, or that of the segment with one shingle deleted. A set is indexed under its own band and the
 one below. How many segments allow 0 and how many 1 is chosen for each band by cost: signatures written against chance
-collisions to be verified, which grow with the number of documents.
+collisions to be verified, which grow with the number of documents. Where signatures are many, they are made, written and
+counted in slices of their hashes, one after the other, so that their disk doesn't grow with them.
 
 Each band has more segments than it needs, and so each set may leave out as many: its empty ones, then those of the longest
 lists, as counted over the corpus. What two linked sets share is worth more than either may leave out, and as all order
@@ -55,12 +56,14 @@ class Join:
     percent_of: int = 100
     n: int = 1_000_000
     #: For costs: the share of other documents that have a good part of their shingles in common with a document, that
-    #: part, and a pair's cost in signatures (most pairs end at their sketches, inside the join).
+    #: part, and a pair's cost in signatures (most pairs end at their sketches: 37 ns measured, beside 1.2 us of the JVM's).
     related: float = 1e-4
     common: float = 0.5
-    pair_cost: float = 0.2
+    pair_cost: float = 0.03
     #: Segments to be left out, as a share of those that are needed.
     spare_share: float = 0.1
+    #: Signatures that are on disk at once, as a share of the shingles.
+    at_once: float = 0.4
 
     def links(self, both: int, a: int, b: int) -> bool:
         return self.percent_of * both >= self.percent * (a + b - both)
@@ -108,6 +111,12 @@ class Join:
         ones = min((k for k in steps if k <= (need + 1) // 2), key=lambda k: (cost(k), k))
         return max(0, need - 2 * ones), ones
 
+    def slices(self) -> int:
+        """In how many slices, one after the other, signatures are written and counted."""
+        size, k = 256, self.band(256)
+        signatures = sum(zeros + ones * (1 + size / (zeros + ones)) for zeros, ones in map(self.segments, (k, max(0, k - 1))))
+        return max(1, math.ceil(signatures / size / self.at_once))
+
 
 def _words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document of each word, A-Z lower-cased, from UTF-8 bytes."""
@@ -275,9 +284,10 @@ MARKS = [f"s{k}" for k in range(SKETCH)]
 _MARKS = "".join(f", {m} long" for m in MARKS)
 
 
-def index(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id, n (size of the set), a, b (128-bit hash of the set), sigs (its signatures), spare (what it may leave out in
-    schemes of even and of odd number), s0 .. (its sketch) for every row."""
+def index(docs: DataFrame, join: Join, nth: int = 0) -> DataFrame:
+    """doc_id, n (size of the set), a, b (128-bit hash of the set), sigs (its signatures of the nth slice), spare (what it may
+    leave out in schemes of even and of odd number), in the first slice s0 .. (its sketch) for every row."""
+    slices, marks = join.slices(), MARKS if nth == 0 else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -285,9 +295,11 @@ def index(docs: DataFrame, join: Join) -> DataFrame:
                 s, size = shingle_sets(x.column(1), join.words)
                 a, b = set_hashes(s, size)
                 sig, count, spare = allocated(s, size, join)
-                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(sig, count), *map(pa.array, spare), *map(pa.array, sketches(s, size))], names=["doc_id", "n", "a", "b", "sigs", "spare0", "spare1", *MARKS])
+                own = ((sig >> _U(32)) * _U(slices)) >> _U(32) == _U(nth)  # by the high bits
+                count = np.bincount(np.repeat(np.arange(len(count)), count)[own], minlength=len(count))
+                yield pa.RecordBatch.from_arrays([x.column(0), pa.array(size), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), _lists(sig[own], count), *map(pa.array, spare), *map(pa.array, sketches(s, size) if marks else ())], names=["doc_id", "n", "a", "b", "sigs", "spare0", "spare1", *marks])
 
-    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, a long, b long, sigs array<long>, spare0 int, spare1 int" + _MARKS)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n long, a long, b long, sigs array<long>, spare0 int, spare1 int" + _MARKS * (nth == 0))
 
 
 def sets(docs: DataFrame, join: Join) -> DataFrame:
@@ -411,18 +423,23 @@ def _sifted(rows: DataFrame, shared: DataFrame) -> DataFrame:
     return rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", "b", "spare0", "spare1", "sigs").mapInArrow(lean(run), "a long, b long, spare0 int, spare1 int, key long")
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """key, a, lead (the smallest a) for the signatures that two classes or more have and don't leave out."""
-    keys = rows.filter("n > 0 AND doc_id IS NOT NULL").select("a", "b", "spare0", "spare1", F.explode("sigs").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("length"), F.min("a").alias("first"), F.max("a").alias("last"))
-    shared = materialize(shared.filter("first < last").select("key", "length"), "shared")
-    listed = _sifted(rows, shared).join(shared, "key").distinct()
+def _members(docs: DataFrame, rows: DataFrame, join: Join) -> DataFrame:
+    """key, a, lead (the smallest a) for the signatures that two classes or more have and don't leave out; rows: the index."""
+    found = []
+    for nth in range(join.slices()):
+        part = materialize(index(docs, join, nth), "slice") if nth else rows
+        keys = part.filter("n > 0 AND doc_id IS NOT NULL").select("a", "b", "spare0", "spare1", F.explode("sigs").alias("key"))
+        shared = keys.groupBy("key").agg(F.count("*").alias("length"), F.min("a").alias("first"), F.max("a").alias("last"))
+        shared = materialize(shared.filter("first < last").select("key", "length"), "shared")
+        found.append(materialize(_sifted(part, shared).join(shared, "key").distinct(), "listed"))
+        free(shared, *[part] * (nth > 0))
+    listed = reduce(DataFrame.unionByName, found)
     # a set's own: longest list first
     own = Window.partitionBy("a", "b", F.col("key").bitwiseAND(1)).orderBy(F.desc("length"), "key")
     worth = F.when(F.col("key").bitwiseAND(2) == 0, 1).otherwise(2)
     kept = listed.withColumn("so_far", F.sum(worth).over(own)).filter(F.col("so_far") > F.when(F.col("key").bitwiseAND(1) == 0, F.col("spare0")).otherwise(F.col("spare1")))
     kept = materialize(kept.select("key", "a").distinct(), "kept")
-    free(shared)
+    free(*found)
     leads = kept.groupBy("key").agg(F.min("a").alias("lead"), F.max("a").alias("last")).filter("lead < last").select("key", "lead")
     members = materialize(kept.join(leads, "key"), "members")
     free(kept)
@@ -560,7 +577,7 @@ def _labelled(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """The index of all rows; n, a, b, id, component of all classes (id: the smallest doc_id, null if there is none)."""
     rows = materialize(index(docs, join), "index")
     classes = materialize(rows.filter("n > 0").groupBy("n", "a", "b", *MARKS).agg(F.min("doc_id").alias("id")), "classes")
-    members = _members(rows)
+    members = _members(docs, rows, join)
     nodes = classes.filter("id IS NOT NULL")
     # one leader for each class first: of those that sizes and sketches allow the one that it shares most signatures with
     first = members.filter("a <> lead").groupBy("a", "lead").count().select(F.col("lead").alias("a_x"), F.col("a").alias("a_y"), "count")

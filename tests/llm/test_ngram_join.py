@@ -207,3 +207,23 @@ def test_buckets_in_many_blocks(spark, monkeypatch):
     join = Join(3, 90, n=240)
     docs = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA)
     assert sorted(map(tuple, ngram_join.join_components(docs, join).collect()), key=str) == brute(rows, join)
+
+
+def test_signatures_of_a_large_corpus_are_written_in_slices(spark, monkeypatch):
+    """With millions of documents segments allow differences and signatures are many: no table holds more than a slice."""
+    join = Join(5, 80, n=100_000_000)
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices([f"w{k}" for k in range(500)], k=300))) for i in range(10)] + similar(rng, 30, 300, 8)
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    most, kept = [], ngram_join.materialize
+
+    def counted(df, label, *args):
+        out = kept(df, label, *args)
+        if "sigs" in out.columns:
+            most.append(out.selectExpr("sum(size(sigs)) / sum(n)").first()[0])
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    docs = spark.createDataFrame([(*r, 0, "") for r in rows], SCHEMA)
+    assert sorted(map(tuple, ngram_join.join_components(docs, join).collect()), key=str) == brute(rows, join)
+    assert len(most) > 2 and max(most) < 0.6, most
