@@ -62,3 +62,18 @@ def test_odd_tables(spark, tmp_path):
     for k, data in enumerate((rows, [])):
         spark.createDataFrame(data, SCHEMA + ", kept string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
         assert corpus_pipeline.run(spark, f"{tmp_path}/{k}").count() == 0
+
+
+def test_secrets_gives_workers_small_batches(spark, monkeypatch):
+    """Whoever writes the stage's result, its workers get 2000 rows at most."""
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], names=["rows"])
+
+    monkeypatch.setattr(corpus_pipeline, "redact", lambda docs: docs.mapInArrow(sizes, "rows long"))
+    docs = spark.range(5000).selectExpr("id AS doc_id", "'a' AS text").coalesce(1)
+    rows = [r.rows for r in corpus_pipeline.secrets(spark, docs, "").collect()]
+    assert sum(rows) == 5000 and max(rows) <= 2000
