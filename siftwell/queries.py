@@ -9,8 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftwell.functions.batches import Batches, Change, column, slices, without_nulls
 from siftwell.functions.similarity import Bm25
-from siftwell.functions.text import ENGLISH_STOP_WORDS, Analyzer, Token, fold, ngrams, stop, tokenize
+from siftwell.functions.text import ENGLISH_STOP_WORDS, Analyzer, Token, fold, ngrams, stop
 from siftwell.operators import collect, facets, maxscore, suggest, vectors
 from siftwell.plans.compiler import range_condition
 from siftwell.plans.query import Boolean, Boost, Clause, ConstantScore, DisjunctionMax, Fuzzy, MatchAll, MatchNone, Phrase, Prefix, Range, Regexp, SpanNear, SpanOr, SpanTerm, Term, TermInSet, Wildcard, rewrite
@@ -293,31 +294,54 @@ def _(s: SparkSession, d: str) -> DataFrame:
 
 
 # analysis
-def analyzed(docs: DataFrame, f: Callable[[str], list[Token]]) -> DataFrame:
-    """doc_id, k, term, pos_inc of the tokens of every text."""
+def analyzed(docs: DataFrame, tokenizer: str, change: Change) -> DataFrame:
+    """doc_id, k, term, pos_inc of the tokens of every text; change: what becomes of a single token."""
 
-    def run(batches):
-        import pandas as pd
+    def run(parts):
+        import numpy as np
+        import pyarrow as pa
 
-        for b in batches:
-            rows = [(i, k, x.term, x.pos_inc) for i, text in zip(b["doc_id"], b["text"], strict=True) if text is not None for k, x in enumerate(f(text))]
-            yield pd.DataFrame(rows, columns=["doc_id", "k", "term", "pos_inc"])
+        analyzer = Batches(tokenizer, change)
+        for part in slices(parts):
+            texts, rows = without_nulls(column(part, 1))
+            t = analyzer.tokens(texts)
+            first = np.searchsorted(t.text, t.text)
+            ids = column(part, 0).take(pa.array(rows[t.text]))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(np.arange(len(first)) - first, pa.int32()), t.strings(), pa.array(t.step, pa.int32())], names=["doc_id", "k", "term", "pos_inc"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, k int, term string, pos_inc int")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, k int, term string, pos_inc int")
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("term").agg(F.count("*").alias("n"))
+def _counted(docs: DataFrame, tokenizer: str, change: Change) -> DataFrame:
+    """term, n over the tokens of every text: counted in each slice of texts, then together."""
+
+    def run(parts):
+        import pyarrow as pa
+
+        analyzer = Batches(tokenizer, change)
+        for part in slices(parts):
+            terms, n = analyzer.counts(without_nulls(column(part, 0))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(n, pa.int64())], names=["term", "n"])
+
+    return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+
+
+def _stopped(tokens: list[Token]) -> list[Token]:
+    return stop(Analyzer.simple().filtered(tokens), ENGLISH_STOP_WORDS)
+
+
+def _folded(tokens: list[Token]) -> list[Token]:
+    return fold(Analyzer.simple().filtered(tokens))
 
 
 @query("t01_tokenize_simple", "SELECT doc_id, pos::INTEGER AS k, term, 1::INTEGER AS pos_inc FROM tok")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return analyzed(table(s, d, "documents"), Analyzer.simple().analyze)
+    return analyzed(table(s, d, "documents"), "simple", Analyzer.simple().filtered)
 
 
 @query("t01_tokenize_standard")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _counted(analyzed(table(s, d, "documents"), tokenize))
+    return _counted(table(s, d, "documents"), "standard", lambda x: x)
 
 
 _STOPS = ", ".join(f"'{w}'" for w in sorted(ENGLISH_STOP_WORDS))
@@ -325,39 +349,39 @@ _STOPS = ", ".join(f"'{w}'" for w in sorted(ENGLISH_STOP_WORDS))
 
 @query("t03_stop", f"SELECT term, count(*) AS n FROM tok WHERE term NOT IN ({_STOPS}) GROUP BY term")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _counted(analyzed(table(s, d, "documents"), lambda x: stop(Analyzer.simple().analyze(x), ENGLISH_STOP_WORDS)))
+    return _counted(table(s, d, "documents"), "simple", _stopped)
 
 
 @query("t05_fold", "SELECT translate(replace(replace(replace(term, 'ß', 'ss'), 'œ', 'oe'), 'æ', 'ae'), 'àáâãäåçèéêëìíîïðñòóôõöøùúûüýÿ', 'aaaaaaceeeeiiiidnoooooouuuuyy') AS term, count(*) AS n FROM tok GROUP BY 1")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _counted(analyzed(table(s, d, "documents"), lambda x: fold(Analyzer.simple().analyze(x))))
+    return _counted(table(s, d, "documents"), "simple", _folded)
 
 
 @query("t06_porter")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _counted(analyzed(table(s, d, "documents"), Analyzer.simple().with_stemming().analyze))
+    return _counted(table(s, d, "documents"), "simple", Analyzer.simple().with_stemming().filtered)
 
 
 @query("t07_english_stemmer")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _counted(analyzed(table(s, d, "documents"), Analyzer.simple().with_stemming("english").analyze))
+    return _counted(table(s, d, "documents"), "simple", Analyzer.simple().with_stemming("english").filtered)
 
 
 @query("t08_synonyms", "SELECT term, count(*) AS n FROM (SELECT term FROM tok UNION ALL SELECT 'article' FROM tok WHERE term = 'the' UNION ALL SELECT 'the' FROM tok WHERE term = 'article') GROUP BY term")
 def _(s: SparkSession, d: str) -> DataFrame:
-    return _counted(analyzed(table(s, d, "documents"), Analyzer.simple().with_synonyms({"the": ["article"]}, True).analyze))
+    return _counted(table(s, d, "documents"), "simple", Analyzer.simple().with_synonyms({"the": ["article"]}, True).filtered)
 
 
 @query("t11_ngrams", "SELECT g AS term, count(*) AS n FROM (SELECT unnest(flatten(list_transform(range(1, length(p_name) + 1), lambda i: list_transform(range(2, 4), lambda m: CASE WHEN i + m - 1 <= length(p_name) THEN substr(p_name, i, m) END)))) AS g FROM part) WHERE g IS NOT NULL GROUP BY g", cte=False)
 def _(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    return _counted(analyzed(rows, lambda x: ngrams(Analyzer.keyword().analyze(x), 2, 3)))
+    return _counted(rows, "keyword", lambda x: ngrams(x, 2, 3))
 
 
 @query("t12_edge_ngrams", "SELECT substr(p_name, 1, m) AS term, count(*) AS n FROM part, (SELECT unnest([1, 2, 3]) AS m) WHERE length(p_name) >= m GROUP BY 1", cte=False)
 def _(s: SparkSession, d: str) -> DataFrame:
     rows = table(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("text"))
-    return _counted(analyzed(rows, lambda x: ngrams(Analyzer.keyword().analyze(x), 1, 3, edge=True)))
+    return _counted(rows, "keyword", lambda x: ngrams(x, 1, 3, edge=True))
 
 
 @query("t14_invert", "SELECT term, doc_id, freq::INTEGER AS freq, array_to_string(ps, ',') AS positions FROM p")
