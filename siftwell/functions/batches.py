@@ -221,10 +221,17 @@ class Batches:
         at = x.first[text[row]]
         return Tokens(list(numbers), text[row], flat[of], step, start[row] - at, end[row] - at, np.diff(x.first))
 
+    def words(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
+        """The distinct words of the texts before the filters, and how often each stands there."""
+        *_, word, words = self._raw(texts, Texts.of(texts))
+        return words, np.bincount(word, minlength=len(words))
+
     def counts(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         """Terms, and how often each stands in the texts; a term may come twice."""
-        *_, word, words = self._raw(texts, Texts.of(texts))
-        n = np.bincount(word, minlength=len(words))
+        return self.changed(*self.words(texts))
+
+    def changed(self, words: list[str], n: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """What becomes of words that stand n times each."""
         outputs = self._outputs(words)
         return [t for out in outputs for t in out], np.repeat(n, [len(o) for o in outputs])
 

@@ -313,17 +313,26 @@ def analyzed(docs: DataFrame, tokenizer: str, change: Change) -> DataFrame:
 
 
 def _counted(docs: DataFrame, tokenizer: str, change: Change) -> DataFrame:
-    """term, n over the tokens of every text: counted in each slice of texts, then together."""
+    """term, n over the tokens of every text: words are counted first, then each distinct one is changed, once."""
 
-    def run(parts):
+    def cut(parts):
         import pyarrow as pa
 
         analyzer = Batches(tokenizer, change)
         for part in slices(parts):
-            terms, n = analyzer.counts(without_nulls(column(part, 0))[0])
+            words, n = analyzer.words(without_nulls(column(part, 0))[0])
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n, pa.int64())], names=["term", "n"])
+
+    def changed(parts):
+        import pyarrow as pa
+
+        for part in slices(parts):
+            # words come once: none is remembered
+            terms, n = Batches(tokenizer, change).changed(column(part, 0).to_pylist(), column(part, 1).to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(n, pa.int64())], names=["term", "n"])
 
-    return docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    words = docs.select("text").mapInArrow(cut, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    return words.mapInArrow(changed, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
 
 
 def _stopped(tokens: list[Token]) -> list[Token]:
