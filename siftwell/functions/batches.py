@@ -175,7 +175,8 @@ class Batches:
         for k, text in enumerate(runs):
             found = self._cut.get(text)
             if found is None:
-                found = tokenize(text)
+                word = text.rstrip(" \n")
+                found = [Token(word, 0, len(word))] if word.isascii() and word.isalnum() else tokenize(text)
                 if len(self._cut) < REMEMBERED:
                     self._cut[text] = found
             for t in found:
